@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
@@ -132,36 +133,41 @@ def train_logreg(
 
 def train_svm(
     rows: DataFrame, label: str, key: str, vector: str = "embedding", *, c: float = 1.0,
-    max_iter: int = 2000, folds: int = 3, seed: int = 42,
+    max_iter: int = 2000, folds: int = 3, seed: int = 42, parallelism: int = 8,
 ) -> Trained:
-    """One linear SVM per class, calibrated by a sigmoid on held-out folds, folds averaged."""
+    """One linear SVM per class, calibrated by a sigmoid on held-out folds, folds averaged.
+
+    The fits of the folds and classes are independent Spark jobs, several at a time.
+    """
     rows = rows.withColumn(label, F.col(label).cast("string")).withColumn(
         "_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds))
     )
     classes = _class_names(rows, label)
     data = cut_lineage(_prepared(rows, label, vector, classes))
-    fitted = []
-    for fold in range(folds):
-        train, held = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
-        n = train.count()
-        parts = []
-        for index in range(len(classes)):
-            is_class = (F.col("y") == index).cast("double")
-            svm = LinearSVC(
-                labelCol="is", weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n),
-                standardization=False,
-            ).fit(train.withColumn("is", is_class))
-            w, b = list(svm.coefficients), svm.intercept
-            margins = held.select(
-                is_class.alias("is"), "weight",
-                array_to_vector(F.array(margin(vector_to_array("features"), w, b))).alias("m"),
-            )
-            sigmoid = LogisticRegression(
-                labelCol="is", featuresCol="m", weightCol="weight", family="binomial", standardization=False,
-                maxIter=100,
-            ).fit(margins)
-            parts.append((w, b, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
-        fitted.append(parts)
+    sizes = {r["_fold"]: r["count"] for r in data.groupBy("_fold").count().collect()}
+
+    def fit(fold: int, index: int) -> tuple:
+        is_class = (F.col("y") == index).cast("double").alias("is")
+        rest = data.filter(F.col("_fold") != fold).select("features", "weight", is_class)
+        n = sum(sizes.values()) - sizes.get(fold, 0)
+        svm = LinearSVC(
+            labelCol="is", weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n),
+            standardization=False,
+        ).fit(rest)
+        w, b = [float(x) for x in svm.coefficients], float(svm.intercept)
+        held = data.filter(F.col("_fold") == fold).select(
+            is_class, "weight",
+            array_to_vector(F.array(margin(vector_to_array("features"), w, b))).alias("m"),
+        )
+        sigmoid = LogisticRegression(
+            labelCol="is", featuresCol="m", weightCol="weight", family="binomial", maxIter=20,
+        ).fit(held)
+        return w, b, float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+
+    tasks = [(fold, index) for fold in range(folds) for index in range(len(classes))]
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(lambda task: fit(*task), tasks))
+    fitted = [parts[f * len(classes):(f + 1) * len(classes)] for f in range(folds)]
     return Trained(classes, "svm", fitted)
 
 

@@ -1,0 +1,12 @@
+"""All registered queries."""
+
+from sightline.plans import (  # noqa: F401
+    classification,
+    collection,
+    counters,
+    listing,
+    nodes,
+    streams,
+    verification,
+)
+from sightline.plans.registry import ORACLES, QUERIES  # noqa: F401

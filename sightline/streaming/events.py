@@ -44,13 +44,12 @@ def correlate(
         F.expr(f"k = rk AND reply_ts >= sent AND reply_ts <= sent + INTERVAL {timeout}"),
         "leftOuter",
     )
-    return (
-        joined.dropDuplicatesWithinWatermark(["k", "sent"])
-        .select(
-            F.col("k").alias(key), F.col("sent").alias(ts),
-            F.when(F.col("reply_ts").isNull(), F.lit("timeout")).otherwise(F.lit("answered")).alias("outcome"),
-            "reply_ts",
-        )
+    # one event time per stream: the reply's becomes a plain column
+    plain = joined.select("k", "sent", F.timestamp_micros(F.unix_micros("reply_ts")).alias("reply_ts"))
+    return plain.dropDuplicatesWithinWatermark(["k", "sent"]).select(
+        F.col("k").alias(key), F.col("sent").alias(ts),
+        F.when(F.col("reply_ts").isNull(), F.lit("timeout")).otherwise(F.lit("answered")).alias("outcome"),
+        "reply_ts",
     )
 
 
@@ -58,10 +57,17 @@ def _with_types(stream: DataFrame, added: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", " + added
 
 
+def expire(state: GroupState, at_us: int) -> None:
+    """Drop the state once the watermark passes a time."""
+    state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
 def rate_limit(
-    stream: DataFrame, key: str, ts: str, rate: float = 8.0, burst: float = 64.0, idle_seconds: float = 600.0,
+    stream: DataFrame, key: str, ts: str, rate: float = 8.0, burst: float = 64.0,
+    idle_seconds: float = 600.0, late: str = "1 minute",
 ) -> DataFrame:
     """Add ``allowed`` by a token bucket per key; state is two numbers and expires when idle."""
+    stream = stream.withWatermark(ts, late)
     idle_us = int(idle_seconds * 1e6)
 
     def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,23 +82,25 @@ def rate_limit(
             last = max(now, last or now)
             allowed.append(ok)
         state.update((tokens, int(last)))
-        state.setTimeoutDuration(int(idle_seconds * 1000))
+        expire(state, last + idle_us)
         yield rows.assign(allowed=allowed)
 
     return stream.groupBy(key).applyInPandasWithState(
         run, _with_types(stream, "allowed boolean"), "tokens double, last bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def suppress_bad(
-    stream: DataFrame, addr: str, ts: str, is_mark: str, ttl_seconds: float = 600.0
+    stream: DataFrame, addr: str, ts: str, is_mark: str, ttl_seconds: float = 600.0,
+    late: str = "1 minute",
 ) -> DataFrame:
     """Checks that do not follow a bad mark of their address within the time to live.
 
     ``stream`` holds marks and checks, told apart by the boolean column ``is_mark``; the state
     of an address is the time of its latest mark.
     """
+    stream = stream.withWatermark(ts, late)
     ttl_us = int(ttl_seconds * 1e6)
 
     def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -109,10 +117,10 @@ def suppress_bad(
             keep.append(not mark and (marked is None or now - marked >= ttl_us))
         if marked is not None:
             state.update((int(marked),))
-            state.setTimeoutDuration(int(ttl_seconds * 1000))
+            expire(state, marked + ttl_us)
         yield rows[keep]
 
     return stream.groupBy(addr).applyInPandasWithState(
         run, _with_types(stream, "")[:-2], "marked bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
