@@ -33,6 +33,18 @@ def term_trigrams(term: str) -> list[str]:
     return sorted({p[i : i + 3] for p in padded for i in range(len(p) - 2)})
 
 
+def shares_piece(text: Column, term: str) -> Column:
+    """Whether a text has any piece of the term, by one regular expression over its words."""
+    edge = r"(?:^|$|[^\p{L}\p{Nd}])"
+    options = []
+    for piece in term_trigrams(term):
+        letters = piece.strip()
+        options.append(
+            (edge if piece.startswith(" ") else "") + letters + (edge if piece.endswith(" ") else "")
+        )
+    return F.lower(text).rlike("|".join(options)) if options else F.lit(False)
+
+
 def trigram_similarity(text: Column, other: Column | str) -> Column:
     """Shared pieces over all pieces of both texts; 0 when neither has any."""
     mine = trigrams(text)

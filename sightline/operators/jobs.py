@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.timing import plus_seconds, time_chunk
-from sightline.operators.scans import DEFAULT_SLICE_SECONDS, sliced_scan
+from sightline.operators.scans import DEFAULT_SLICE_SECONDS, count_since
 from sightline.vocab import (
     BACKLOG_STATES,
     MAX_RETRIES,
@@ -109,15 +109,7 @@ def fold_outcomes(
 
 def number_attempts(outcomes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Attempt number of each outcome since the id's previous success (1, 2, ...)."""
-    counted = sliced_scan(outcomes, [key], order, sums={"_all": F.lit(1)})
-    # the number the latest earlier success had; the row itself may be a success
-    closed = sliced_scan(
-        counted, [key], order,
-        lasts={"_closed": F.when(F.col("outcome") == "verified", F.col("_all"))},
-    )
-    return closed.withColumn(
-        "attempt", F.col("_all") - F.coalesce(F.col("_closed"), F.lit(0))
-    ).drop("_all", "_closed")
+    return count_since(outcomes, [key], order, F.col("outcome") == "verified", output="attempt")
 
 
 def is_due(as_of: Column) -> Column:

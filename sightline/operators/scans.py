@@ -8,14 +8,28 @@ row per (key, slice), so its group size is bounded by the time span, not by the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sightline.functions.timing import time_chunk
+from sightline.functions.timing import micros, time_chunk
 
 DEFAULT_SLICE_SECONDS = 600
 
 
+def with_slices(df: DataFrame, order: list[str], slice_seconds: int) -> DataFrame:
+    """Add ``_slice``, the number of the time slice of the first order column."""
+    return df.withColumn("_slice", time_chunk(F.col(order[0]), slice_seconds))
+
+
+def within_slice(keys: list[str], order: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys, "_slice").orderBy(*order)
+
+
+def earlier_slices(keys: list[str]) -> WindowSpec:
+    """All earlier slices of a key, for frames with one row per (key, slice)."""
+    return Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def sliced_scan(
     df: DataFrame,
     keys: list[str],
@@ -31,7 +45,7 @@ def sliced_scan(
     value strictly before the row.
     """
     sums, lasts = sums or {}, lasts or {}
-    rows = df.withColumn("_slice", time_chunk(F.col(order[0]), slice_seconds))
+    rows = with_slices(df, order, slice_seconds)
     position = F.struct(*order)
 
     summary = rows.groupBy(*keys, "_slice").agg(
@@ -41,9 +55,7 @@ def sliced_scan(
             for n, e in lasts.items()
         ],
     )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = earlier_slices(keys)
     carried = summary.select(
         *keys,
         "_slice",
@@ -54,7 +66,7 @@ def sliced_scan(
         ],
     )
 
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    within = within_slice(keys, order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(carried, [*keys, "_slice"], "left")
@@ -65,3 +77,71 @@ def sliced_scan(
            for n, e in lasts.items()},
     }
     return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
+
+
+def episode_starts(
+    df: DataFrame, keys: list[str], order: list[str], pause_us: int, *,
+    slice_seconds: int = DEFAULT_SLICE_SECONDS, output: str = "episode",
+) -> DataFrame:
+    """Add the start (in microseconds) of the stretch without a pause each row belongs to.
+
+    A new stretch begins where a key has been silent for longer than ``pause_us``. Inside a
+    slice this shows locally; only a slice's first row needs the last time of an earlier slice.
+    """
+    us = micros(F.col(order[0]))
+    rows = with_slices(df, order, slice_seconds).withColumn("_us", us)
+    within = within_slice(keys, order)
+    local = rows.withColumn("_gap", F.col("_us") - F.lag("_us").over(within)).withColumn(
+        "_start", F.when(F.col("_gap") > pause_us, F.col("_us"))
+    )
+    summary = local.groupBy(*keys, "_slice").agg(
+        F.min("_us").alias("_first"), F.max("_us").alias("_final"), F.max("_start").alias("_inner")
+    )
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    silent = F.col("_first") - F.lag("_final").over(along)
+    opened = summary.withColumn(
+        "_opening", F.when(silent.isNull() | (silent > pause_us), F.col("_first"))
+    ).withColumn(
+        "_carried",
+        F.coalesce(
+            F.col("_opening"),
+            F.last(F.coalesce("_inner", "_opening"), ignorenulls=True).over(earlier_slices(keys)),
+        ),
+    )
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = local.join(opened.select(*keys, "_slice", "_carried"), [*keys, "_slice"])
+    return joined.select(
+        *df.columns,
+        F.coalesce(F.max("_start").over(upto), F.col("_carried")).alias(output),
+    )
+
+
+def count_since(
+    df: DataFrame, keys: list[str], order: list[str], mark: Column, *,
+    slice_seconds: int = DEFAULT_SLICE_SECONDS, output: str = "n",
+) -> DataFrame:
+    """Add how many rows of the key lie after the latest earlier marked row, this one included."""
+    rows = with_slices(df, order, slice_seconds)
+    within = within_slice(keys, order)
+    marked_at = F.when(mark, F.col("_at"))
+    local = rows.withColumn("_at", F.row_number().over(within).cast("bigint")).withColumn(
+        "_mark", F.max(marked_at).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    summary = rows.withColumn("_at", F.row_number().over(within).cast("bigint")).groupBy(
+        *keys, "_slice"
+    ).agg(F.count(F.lit(1)).alias("_rows"), F.max(marked_at).alias("_mark"))
+    earlier = earlier_slices(keys)
+    total = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    placed = summary.withColumn("_before", total)
+    carried = placed.select(
+        *keys, "_slice",
+        (F.col("_before") - F.coalesce(
+            F.last(F.col("_before") + F.col("_mark"), ignorenulls=True).over(earlier), F.lit(0)
+        )).alias("_open"),
+    )
+    joined = local.join(carried, [*keys, "_slice"])
+    return joined.select(
+        *df.columns,
+        F.when(F.col("_mark").isNotNull(), F.col("_at") - F.col("_mark"))
+        .otherwise(F.col("_at") + F.col("_open")).alias(output),
+    )

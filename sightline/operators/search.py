@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.ids import parse_hex_id, to_hex
-from sightline.functions.text import contains_ignore_case, magnet_link, trigram_similarity
+from sightline.functions.text import (
+    contains_ignore_case,
+    magnet_link,
+    shares_piece,
+    term_trigrams,
+    trigram_similarity,
+    trigrams,
+)
 from sightline.vocab import (
     DEFAULT_PAGE_SIZE,
     MAX_PAGE_SIZE,
@@ -25,12 +32,12 @@ def page_bounds(page: int | None, limit: int | None) -> tuple[int, int]:
 
 
 def matches(name: Column, term: str) -> Column:
-    """The name contains the term, or their trigram similarity reaches the threshold."""
-    return F.coalesce(
-        contains_ignore_case(name, term)
-        | (trigram_similarity(name, term) >= SIMILARITY_THRESHOLD),
-        F.lit(False),
-    )
+    """The name contains the term, or their trigram similarity reaches the threshold.
+
+    Similarity is only worked out for names that share a piece with the term.
+    """
+    similar = shares_piece(name, term) & (trigram_similarity(name, term) >= SIMILARITY_THRESHOLD)
+    return F.coalesce(contains_ignore_case(name, term) | similar, F.lit(False))
 
 
 def matching(items: DataFrame, term: str | None, name: str = "name") -> DataFrame:
@@ -122,8 +129,6 @@ def trigram_index(items: DataFrame, key: str, name: str = "name") -> DataFrame:
 
     Written partitioned or bucketed by ``gram``, a term reads only its own pieces.
     """
-    from sightline.functions.text import trigrams
-
     return items.select(
         key, F.explode(trigrams(F.col(name))).alias("gram"), F.size(trigrams(F.col(name))).alias("grams")
     )
@@ -131,8 +136,6 @@ def trigram_index(items: DataFrame, key: str, name: str = "name") -> DataFrame:
 
 def similar_by_index(index: DataFrame, term: str, key: str, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Ids whose similarity to the term reaches the threshold, from the index alone."""
-    from sightline.functions.text import term_trigrams
-
     pieces = term_trigrams(term)
     shared = (
         index.filter(F.col("gram").isin(pieces))

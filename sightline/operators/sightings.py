@@ -20,17 +20,34 @@ def _presence(sources: Column) -> Column:
 
 def fold_sightings(
     events: DataFrame, key: str = "infohash", *, source: str = "source", ts: str = "ts",
-    count_sources: bool = False,
+    count_sources: bool = False, sources: list[str] | None = None,
 ) -> DataFrame:
     """One row per id: first and last time seen, sources, number of sightings.
 
     Sources form a presence map with values 1; ``count_sources`` gives true counts instead.
-    All aggregates combine on the map side, so a hot id shuffles one row per task.
+    With the list of possible ``sources`` all buffers are of fixed width and stay in the hash
+    aggregate; a source outside the list is an error. All aggregates combine on the map side,
+    so a hot id shuffles one row per task.
     """
+    span = [F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")]
+    if sources and not count_sources:
+        names = sorted(sources)
+        flags = events.groupBy(key).agg(
+            *span,
+            *[F.max(F.col(source) == s).alias(f"_is_{i}") for i, s in enumerate(names)],
+            F.count_if(~F.col(source).isin(names)).alias("_other"),
+            F.count(F.lit(1)).alias("total_seen"),
+        )
+        found = F.array_compact(F.array(*[
+            F.when(F.col(f"_is_{i}"), F.lit(s)) for i, s in enumerate(names)
+        ]))
+        checked = F.when(F.col("_other") > 0, F.raise_error(F.lit(f"source not in {names}"))).otherwise(found)
+        return flags.select(
+            key, "first_seen", "last_seen", _presence(checked).alias("source_counts"), "total_seen"
+        )
     if not count_sources:
         return events.groupBy(key).agg(
-            F.min(ts).alias("first_seen"),
-            F.max(ts).alias("last_seen"),
+            *span,
             _presence(F.collect_set(source)).alias("source_counts"),
             F.count(F.lit(1)).alias("total_seen"),
         )

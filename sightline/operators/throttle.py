@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.timing import micros
-from sightline.operators.scans import DEFAULT_SLICE_SECONDS, sliced_scan
+from sightline.operators.scans import DEFAULT_SLICE_SECONDS, episode_starts
 
 
 def take(tokens: float, last_us: int | None, now_us: int, rate: float, burst: float, idle_us: int):
@@ -31,18 +31,11 @@ def rate_limit(
     before, so a key is cut into episodes at such pauses and episodes run in parallel. Each
     partition is a sorted stream that carries one bucket; no episode is held in memory.
     """
-    refill = min(burst / rate, idle_seconds)
-    paused = sliced_scan(
-        hits.withColumn("_us", micros(F.col(ts))), [key], [ts, tie],
-        slice_seconds=slice_seconds, lasts={"_prev": F.col("_us")},
+    refill_us = int(min(burst / rate, idle_seconds) * 1e6)
+    episodes = episode_starts(
+        hits.withColumn("_us", micros(F.col(ts))), [key], [ts, tie], refill_us,
+        slice_seconds=slice_seconds, output="_episode",
     )
-    starts = F.when(
-        F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > F.lit(int(refill * 1e6))), 1
-    ).otherwise(0)
-    episodes = sliced_scan(
-        paused.withColumn("_start", starts), [key], [ts, tie],
-        slice_seconds=slice_seconds, sums={"_episode": F.col("_start")},
-    ).drop("_prev", "_start")
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in episodes.schema.fields
     ) + ", allowed boolean"

@@ -15,6 +15,9 @@ def sighting_events(t):
     )
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def sources_text(folded):
     return folded.select(
         "infohash", "first_seen", "last_seen",
@@ -30,6 +33,11 @@ FROM events GROUP BY user_id"""
 
 
 @query("sightings_fold", SIGHTINGS_SQL)
+def _(t):
+    return sources_text(sightings.fold_sightings(sighting_events(t), sources=EVENT_TYPES))
+
+
+@query("sightings_fold_any_source", SIGHTINGS_SQL)
 def _(t):
     return sources_text(sightings.fold_sightings(sighting_events(t)))
 
