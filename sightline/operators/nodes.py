@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.ids import bucket_index, to_hex, xor_distance
-from sightline.session import cut_lineage
+from sightline.functions.timing import time_chunk
+from sightline.operators.scans import DEFAULT_SLICE_SECONDS
+from sightline.operators.sightings import latest_rows
+from sightline.session import store
 
 HEX_DIGITS = 40
 
@@ -62,7 +65,7 @@ def closest(
             .filter(F.col("_before") < F.col("_need"))
             .withColumn("_left", F.col("_need") - F.col("_before"))
         )
-        step = cut_lineage(step.select("_t", "_thex", "_c", "_n", "_left"))
+        step = store(step.select("_t", "_thex", "_c", "_n", "_left"), "closest")
         opened = (F.col("_n") > F.col("_left")) & (F.col("_n") > leaf_size)
         reads.append((depth + 1, step.filter(~opened).select("_t", F.col("_c").alias("_p"))))
         frontier = step.filter(opened).select(
@@ -129,50 +132,121 @@ def latest_arrivals(nodes: DataFrame, own: Column, k: int = 8, *, node: str = "i
     return ranked.filter(F.col("rank") <= k)
 
 
+def _first_comers(rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    """(bucket, _slice, _start): the last k ids first seen before each slice, oldest first.
+
+    Ids are numbered by first appearance through counts per slice, so that the k numbers below
+    a slice's count find them; no bucket is sorted as a whole.
+    """
+    firsts = rows.groupBy("bucket", "_id").agg(
+        F.min(F.struct("_slice", *order)).alias("_f")
+    ).select("bucket", "_id", "_f.*")
+    local = firsts.withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy(*order))
+    )
+    counts = rows.groupBy("bucket", "_slice").agg(F.lit(0).alias("_none")).join(
+        firsts.groupBy("bucket", "_slice").agg(F.count(F.lit(1)).alias("_new")),
+        ["bucket", "_slice"], "left",
+    )
+    before = counts.select(
+        "bucket", "_slice",
+        F.coalesce(
+            F.sum("_new").over(
+                Window.partitionBy("bucket").orderBy("_slice")
+                .rowsBetween(Window.unboundedPreceding, -1)
+            ),
+            F.lit(0),
+        ).alias("_seen"),
+    )
+    numbered = local.join(before, ["bucket", "_slice"]).select(
+        "bucket", (F.col("_seen") + F.col("_nth")).alias("_no"), "_id"
+    )
+    wanted = before.select(
+        "bucket", "_slice",
+        F.explode_outer(F.when(
+            F.col("_seen") > 0,
+            F.sequence(F.greatest(F.col("_seen") - (k - 1), F.lit(1)), F.col("_seen")),
+        )).alias("_no"),
+    )
+    # at most k ids are collected per slice
+    return wanted.join(numbered, ["bucket", "_no"], "left").groupBy("bucket", "_slice").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_id").isNotNull(), F.struct("_no", "_id")))).alias("_s")
+    ).select("bucket", "_slice", F.transform("_s", lambda x: x["_id"]).alias("_start"))
+
+
 def retain_buckets(
     nodes: DataFrame, own: Column, k: int = 8, *, node: str = "id", seen: str = "seen_ts",
-    tie: str | None = None,
+    tie: str | None = None, slices: Column | None = None,
 ) -> DataFrame:
-    """Routing table after seeing ``nodes`` in time order, exactly.
+    """Routing table after seeing ``nodes`` in time order, exactly: (bucket, id, position, ...).
 
     Each bucket keeps k ids; a new id pushes out the one inserted longest ago, a known id only
-    changes its address. Every bucket is read as a sorted stream with k entries of state, so no
-    task ever holds a bucket's rows; what a task holds does not grow with the data.
+    changes its address. A bucket is cut into time slices (``slices`` gives another
+    non-decreasing number, say for a sequence instead of a time). All slices are run at once
+    from a guessed start, the last k ids that had first appeared by then, which is right while
+    no id returns after it was pushed out. Slices that did not start with what the one before
+    ended with are run again until all do, so the result never rests on the guess; a full
+    bucket forgets its past within a few insertions. No task reads more than a slice of a
+    bucket, and it reads that as a stream.
     """
     order = [seen] + ([tie] if tie else [])
     rest = [c for c in nodes.columns if c not in (node, *order)]
-    rows = (
-        nodes.filter(F.col(node) != own)
-        .withColumn("bucket", bucket_index(own, F.col(node)))
-        .select("bucket", node, *order, *rest)
-    )
-    fields = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
-    schema = ", ".join(
-        ["bucket int", f"`{node}` {fields[node]}", "position int"]
-        + [f"`{c}` {fields[c]}" for c in rest]
+    rows = nodes.filter(F.col(node) != own).select(
+        bucket_index(own, F.col(node)).alias("bucket"),
+        (slices if slices is not None else time_chunk(F.col(seen), DEFAULT_SLICE_SECONDS))
+        .cast("bigint").alias("_slice"),
+        F.col(node).alias("_id"), *order,
     )
+    on = ["bucket", "_slice"]
+    schema = "bucket int, _slice bigint, _end array<binary>"
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, held = None, {}
-
-        def flush() -> pd.DataFrame:
-            out = [(bucket, i, pos + 1, *vals) for pos, (i, vals) in enumerate(held.items())]
-            return pd.DataFrame(out, columns=["bucket", node, "position", *rest])
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, {}
+        ends = []
         for pdf in batches:
-            values = list(zip(*[pdf[c] for c in rest])) if rest else [()] * len(pdf)
-            for b, i, vals in zip(pdf["bucket"], pdf[node], values):
-                if b != bucket:
-                    if held:
-                        yield flush()
-                    bucket, held = b, {}
-                # assigning to a known id keeps its place in line
-                if i not in held and len(held) >= k:
-                    del held[next(iter(held))]
-                held[i] = vals
-        if held:
-            yield flush()
+            for b, s, i, start in zip(pdf["bucket"], pdf["_slice"], pdf["_id"], pdf["_start"]):
+                if (b, s) != group:
+                    if group:
+                        ends.append((*group, list(held)))
+                    group, held = (b, s), dict.fromkeys(start)
+                if i not in held:
+                    if len(held) >= k:
+                        del held[next(iter(held))]
+                    held[i] = None
+            yield pd.DataFrame(ends, columns=[*on, "_end"])
+            ends = []
+        if group:
+            yield pd.DataFrame([(*group, list(held))], columns=[*on, "_end"])
+
+    def ends_of(starts: DataFrame) -> DataFrame:
+        started = rows.join(starts, on)
+        return store(
+            started.select(*on, "_id", "_start", *order).repartition(*on)
+            .sortWithinPartitions(*on, *order).mapInPandas(run, schema),
+            "buckets",
+        )
 
-    return (
-        rows.repartition("bucket").sortWithinPartitions("bucket", *order).mapInPandas(keep, schema)
+    along = Window.partitionBy("bucket").orderBy("_slice")
+    nothing = F.array().cast("array<binary>")
+    starts = store(_first_comers(rows, order, k), "buckets")
+    state = store(ends_of(starts).join(starts, on), "buckets")
+    while True:
+        due = state.withColumn("_due", F.coalesce(F.lag("_end").over(along), nothing))
+        wrong = due.filter(F.col("_due") != F.col("_start")).select(*on, F.col("_due").alias("_start"))
+        if wrong.isEmpty():
+            break
+        again = ends_of(wrong).join(wrong, on)
+        state = store(
+            state.join(wrong.select(*on), on, "left_anti").unionByName(again), "buckets"
+        )
+    final = state.groupBy("bucket").agg(F.max_by("_end", "_slice").alias("_end")).select(
+        "bucket", F.posexplode("_end").alias("_at", node)
+    )
+    kept = final.select("bucket", node, (F.col("_at") + 1).alias("position"))
+    if not rest:
+        return kept
+    # the address of a kept id is the one it was last seen with
+    latest = latest_rows(
+        nodes.join(kept.select(node), node, "left_semi").select(node, *order, *rest), [node], order
     )
+    return kept.join(latest.select(node, *rest), node).select("bucket", node, "position", *rest)

@@ -3,59 +3,207 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.timing import micros
-from sightline.operators.scans import DEFAULT_SLICE_SECONDS, episode_starts
+from sightline.functions.timing import micros, time_chunk
+from sightline.operators.scans import DEFAULT_SLICE_SECONDS
+from sightline.session import store
 
 
-def take(tokens: float, last_us: int | None, now_us: int, rate: float, burst: float, idle_us: int):
-    """(allowed, tokens left) for one hit; a new or long idle bucket starts full."""
-    if last_us is None or now_us - last_us > idle_us:
-        tokens = burst
-    else:
-        tokens = min(burst, tokens + (now_us - last_us) / 1e6 * rate)
-    return (True, tokens - 1.0) if tokens >= 1.0 else (False, tokens)
+@dataclass(frozen=True)
+class Bucket:
+    """A bucket in whole units: one token is ``token`` units and a microsecond adds ``gain``."""
+
+    token: int
+    gain: int
+    full: int
+    idle_us: int
+
+    @classmethod
+    def of(cls, rate: float, burst: float, idle_seconds: float) -> Bucket:
+        share = Fraction(rate).limit_denominator(100_000)
+        token = share.denominator * 1_000_000
+        return cls(token, share.numerator, int(burst * token), int(idle_seconds * 1e6))
+
+    def refilled(self, units: int, gap_us: int) -> int:
+        """Units after a pause; a long idle bucket is replaced by a full one."""
+        if gap_us > self.idle_us:
+            return self.full
+        return min(self.full, units + gap_us * self.gain)
+
+    def take(self, units: int) -> tuple[bool, int]:
+        return (True, units - self.token) if units >= self.token else (False, units)
+
+
+def _slice_facts(bucket: Bucket, times: Iterator[int]) -> tuple:
+    """What one slice says without knowing its start.
+
+    ``full_end``: units left when it starts with a full bucket. ``exact_end``: units left
+    whatever it started with, known if even an empty start fills up on the way. ``drained_us``:
+    last hit at which even a full start has run dry, and the hits after it.
+    """
+    first = last = None
+    full_x = high = bucket.full
+    low, exact, drained, after, n = 0, None, None, 0, 0
+    for now in times:
+        gap = 0 if last is None else now - last
+        full_x = bucket.take(bucket.refilled(full_x, gap))[1]
+        if exact is not None:
+            exact = bucket.take(bucket.refilled(exact, gap))[1]
+        # low and high bound the units from below: a refused hit counts as leaving nothing
+        risen = bucket.refilled(low, gap)
+        if risen >= bucket.full:
+            exact = bucket.full - bucket.token
+        low = max(0, risen - bucket.token)
+        high = max(0, bucket.refilled(high, gap) - bucket.token)
+        n, after = n + 1, after + 1
+        if high == 0:
+            drained, after = now, 0
+        first, last = now if first is None else first, now
+    return first, last, n, full_x, exact, drained, after
+
+
+def _by_slice(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
+    """Rows of sorted batches as (key, slice, time) without holding more than a batch."""
+    for pdf in batches:
+        yield from zip(pdf[key], pdf["_slice"], pdf["_us"])
+
+
+def _guessed_starts(facts: DataFrame, key: str, bucket: Bucket) -> DataFrame:
+    """Start of each slice: (key, _slice, _units, _since), null units for a full bucket.
+
+    A drained bucket holds what refilled since it was last known exactly, less whole tokens,
+    so only the remainder by one token is left; from there every hit takes a token.
+    """
+    along = Window.partitionBy(key).orderBy("_slice")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gain = F.lit(bucket.gain).cast("decimal(38,0)")
+    token = F.lit(bucket.token).cast("decimal(38,0)")
+
+    def later(units: Column, since: Column, now: Column, hits: Column) -> Column:
+        return units + gain * (now - since) - token * hits
+
+    pause = F.col("first") - F.lag("last").over(along)
+    fresh = pause.isNull() | (pause > bucket.idle_us) | (gain * pause >= bucket.full)
+    known = facts.withColumn("_fresh", fresh).withColumn(
+        "_known", F.coalesce(F.col("exact_end"), F.when(F.col("_fresh"), F.col("full_end")))
+    ).withColumn("_hits", F.sum("n").over(upto))
+    anchored = known.withColumn(
+        "_k", F.last(F.when(F.col("_known").isNotNull(), F.struct("_known", "last")), True).over(upto)
+    )
+    at_dry = F.pmod(
+        later(F.col("_k._known"), F.col("_k.last"), F.col("drained_us"), F.lit(0)), token
+    )
+    settled = anchored.withColumn(
+        "_settled",
+        F.coalesce(F.col("_known").cast("decimal(38,0)"),
+                   later(at_dry, F.col("drained_us"), F.col("last"), F.col("after"))),
+    ).withColumn(
+        "_s",
+        F.last(F.when(F.col("_settled").isNotNull(), F.struct("_settled", "last", "_hits")), True).over(upto),
+    )
+    end = later(F.col("_s._settled"), F.col("_s.last"), F.col("last"), F.col("_hits") - F.col("_s._hits"))
+    bounded = F.greatest(F.lit(0), F.least(end, F.lit(bucket.full))).cast("bigint")
+    ended = settled.withColumn("_end", bounded)
+    return ended.select(
+        key, "_slice",
+        F.when(~F.col("_fresh"), F.lag("_end").over(along)).alias("_units"),
+        F.when(~F.col("_fresh"), F.lag("last").over(along)).alias("_since"),
+    )
 
 
 def rate_limit(
     hits: DataFrame, key: str, ts: str, rate: float = 8.0, burst: float = 64.0, *,
     tie: str, idle_seconds: float = 600.0, slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
-    """Add ``allowed`` to each hit, per key in time order.
+    """Add ``allowed`` to each hit, per key in time order, exactly.
 
-    A pause long enough to refill the bucket makes what follows independent of what came
-    before, so a key is cut into episodes at such pauses and episodes run in parallel. Each
-    partition is a sorted stream that carries one bucket; no episode is held in memory.
+    A key's hits are cut into time slices that run in parallel. What a slice starts with is
+    first worked out from a summary of each slice: a bucket that filled up, or that ran dry,
+    forgets its past but for a remainder. Then all slices run, and any slice that did not start
+    with what the one before ended with is run again, so the result never rests on the guess.
+    Units are whole numbers, so this comparison is exact. No task reads more than a slice of a
+    key as a stream, and keys hold no rows in memory.
     """
-    refill_us = int(min(burst / rate, idle_seconds) * 1e6)
-    episodes = episode_starts(
-        hits.withColumn("_us", micros(F.col(ts))), [key], [ts, tie], refill_us,
-        slice_seconds=slice_seconds, output="_episode",
+    bucket = Bucket.of(rate, burst, idle_seconds)
+    rows = hits.withColumn("_us", micros(F.col(ts))).withColumn(
+        "_slice", time_chunk(F.col(ts), slice_seconds)
     )
+    on = [key, "_slice"]
+    kind = hits.schema[key].dataType.simpleString()
+    names = ["first", "last", "n", "full_end", "exact_end", "drained_us", "after"]
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from itertools import groupby
+
+        out = []
+        for (who, number), group in groupby(_by_slice(batches, key), key=lambda r: r[:2]):
+            out.append((who, number, *_slice_facts(bucket, (r[2] for r in group))))
+            if len(out) == 10_000:
+                yield pd.DataFrame(out, columns=[*on, *names]).convert_dtypes()
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=[*on, *names]).convert_dtypes()
+
+    facts = (
+        rows.select(*on, "_us").repartition(*on).sortWithinPartitions(*on, "_us")
+        .mapInPandas(summarise, f"`{key}` {kind}, _slice bigint, " + ", ".join(f"{n} bigint" for n in names))
+    )
+    starts = store(_guessed_starts(store(facts, "throttle"), key, bucket), "throttle")
+
+    columns = [*rows.columns, "_units", "_since"]
     schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in episodes.schema.fields
-    ) + ", allowed boolean"
-    idle_us = int(idle_seconds * 1e6)
+        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields
+    ) + ", allowed boolean, _after bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, tokens, last = None, burst, None
+        group, units, last = None, 0, None
         for pdf in batches:
-            allowed = []
-            for who, episode, now in zip(pdf[key], pdf["_episode"], pdf["_us"]):
-                if (who, episode) != owner:
-                    owner, tokens, last = (who, episode), burst, None
-                ok, tokens = take(tokens, last, now, rate, burst, idle_us)
+            allowed, left = [], []
+            given = zip(pdf[key], pdf["_slice"], pdf["_us"], pdf["_units"], pdf["_since"])
+            for who, number, now, begin, since in given:
+                if (who, number) != group:
+                    group = (who, number)
+                    units, last = (bucket.full, now) if begin is None else (int(begin), int(since))
+                ok, units = bucket.take(bucket.refilled(units, now - last))
                 last = now
                 allowed.append(ok)
-            yield pdf.assign(allowed=allowed)
+                left.append(units)
+            yield pdf.drop(columns=["_units", "_since"]).assign(allowed=allowed, _after=left)
 
-    return (
-        episodes.repartition(key, "_episode")
-        .sortWithinPartitions(key, "_episode", "_us", tie)
-        .mapInPandas(run, schema)
-        .drop("_us", "_episode")
-    )
+    def simulate(some: DataFrame) -> DataFrame:
+        # long integers with nulls would arrive as floats, so units travel as text
+        begun = rows.join(some, on).select(
+            *rows.columns, F.col("_units").cast("string"), F.col("_since").cast("string")
+        )
+        return store(
+            begun.select(*columns).repartition(*on).sortWithinPartitions(*on, "_us", tie)
+            .mapInPandas(run, schema), "throttle",
+        )
+
+    done = simulate(starts)
+    while True:
+        ends = done.groupBy(*on).agg(
+            F.max_by("_after", F.struct("_us", tie)).alias("_end"), F.max("_us").alias("_final")
+        )
+        along = Window.partitionBy(key).orderBy("_slice")
+        checked = starts.join(ends, on).select(
+            *on, "_units", "_since", F.lag("_end").over(along).alias("_true"),
+            F.lag("_final").over(along).alias("_at"),
+        )
+        wrong = store(
+            checked.filter(F.col("_units").isNotNull() & (F.col("_units") != F.col("_true")))
+            .select(*on, F.col("_true").alias("_units"), F.col("_at").alias("_since")),
+            "throttle",
+        )
+        if wrong.isEmpty():
+            break
+        keep = lambda df: df.join(wrong.select(*on), on, "left_anti")
+        done = store(keep(done).unionByName(simulate(wrong)), "throttle")
+        starts = store(keep(starts).unionByName(wrong), "throttle")
+    return done.select(*hits.columns, "allowed")

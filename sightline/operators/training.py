@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.evaluate import with_class_weight
-from sightline.session import cut_lineage
+from sightline.session import store
 
 SPLIT_SLICES = 4096
 
@@ -143,7 +143,7 @@ def train_svm(
         "_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds))
     )
     classes = _class_names(rows, label)
-    data = cut_lineage(_prepared(rows, label, vector, classes))
+    data = store(_prepared(rows, label, vector, classes), "training")
     sizes = {r["_fold"]: r["count"] for r in data.groupBy("_fold").count().collect()}
 
     def fit(fold: int, index: int) -> tuple:

@@ -92,7 +92,9 @@ def _(t):
         sha("o_custkey").alias("id"), F.col("o_orderkey").alias("seen_ts"),
         F.col("o_orderpriority").alias("addr"),
     )
-    kept = nodes.retain_buckets(seen, F.unhex(F.sha1(F.lit(OWN))), 8)
+    kept = nodes.retain_buckets(
+        seen, F.unhex(F.sha1(F.lit(OWN))), 8, slices=F.floor(F.col("seen_ts") / 5000)
+    )
     return kept.withColumn("id", ids.to_hex(F.col("id")))
 
 

@@ -55,7 +55,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder so that a lost executor loses no earlier step."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder and read them back.
+
+    Later steps start from the table, so a lost executor costs no earlier step again.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
