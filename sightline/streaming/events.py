@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sightline.operators.throttle import take
+from sightline.operators.throttle import Bucket
 
 
 def dedupe(stream: DataFrame, key: str, ts: str, within: str = "10 minutes") -> DataFrame:
@@ -68,25 +68,26 @@ def rate_limit(
 ) -> DataFrame:
     """Add ``allowed`` by a token bucket per key; state is two numbers and expires when idle."""
     stream = stream.withWatermark(ts, late)
-    idle_us = int(idle_seconds * 1e6)
+    bucket = Bucket.of(rate, burst, idle_seconds)
 
     def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        tokens, last = state.get if state.exists else (burst, None)
+        units, last = state.get if state.exists else (bucket.full, None)
         rows = pd.concat(list(parts)).sort_values(ts, kind="stable")
         allowed = []
         for now in rows[ts].astype("datetime64[us]").astype("int64"):
-            ok, tokens = take(tokens, last, now, rate, burst, idle_us)
-            last = max(now, last or now)
+            last = int(now) if last is None else last
+            ok, units = bucket.take(bucket.refilled(units, max(0, int(now) - last)))
+            last = max(int(now), last)
             allowed.append(ok)
-        state.update((tokens, int(last)))
-        expire(state, last + idle_us)
+        state.update((units, last))
+        expire(state, last + bucket.idle_us)
         yield rows.assign(allowed=allowed)
 
     return stream.groupBy(key).applyInPandasWithState(
-        run, _with_types(stream, "allowed boolean"), "tokens double, last bigint", "append",
+        run, _with_types(stream, "allowed boolean"), "units bigint, last bigint", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
