@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -174,29 +174,59 @@ def _first_comers(rows: DataFrame, order: list[str], k: int) -> DataFrame:
     ).select("bucket", "_slice", F.transform("_s", lambda x: x["_id"]).alias("_start"))
 
 
+def _settled_ends(
+    rows: DataFrame, order: list[str], k: int, ends_of: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(bucket, _slice, _end) where every slice started with what the one before ended with."""
+    on = ["bucket", "_slice"]
+    along = Window.partitionBy("bucket").orderBy("_slice")
+    starts = store(_first_comers(rows, order, k), "buckets")
+    state = store(ends_of(rows.join(starts, on)).join(starts, on), "buckets")
+    while True:
+        due = state.withColumn(
+            "_due", F.coalesce(F.lag("_end").over(along), F.array().cast("array<binary>"))
+        )
+        wrong = store(
+            due.filter(F.col("_due") != F.col("_start"))
+            .select(*on, F.col("_due").alias("_start")),
+            "buckets",
+        )
+        if wrong.isEmpty():
+            return state.select(*on, "_end")
+        again = ends_of(rows.join(wrong, on)).join(wrong, on)
+        state = store(
+            state.join(wrong.select(*on), on, "left_anti").unionByName(again), "buckets"
+        )
+
+
 def retain_buckets(
     nodes: DataFrame, own: Column, k: int = 8, *, node: str = "id", seen: str = "seen_ts",
-    tie: str | None = None, slices: Column | None = None,
+    tie: str | None = None, slices: Column | None = None, whole_rows: int = 1_000_000,
 ) -> DataFrame:
     """Routing table after seeing ``nodes`` in time order, exactly: (bucket, id, position, ...).
 
     Each bucket keeps k ids; a new id pushes out the one inserted longest ago, a known id only
-    changes its address. A bucket is cut into time slices (``slices`` gives another
-    non-decreasing number, say for a sequence instead of a time). All slices are run at once
-    from a guessed start, the last k ids that had first appeared by then, which is right while
-    no id returns after it was pushed out. Slices that did not start with what the one before
-    ended with are run again until all do, so the result never rests on the guess; a full
-    bucket forgets its past within a few insertions. No task reads more than a slice of a
-    bucket, and it reads that as a stream.
+    changes its address. A bucket of more than ``whole_rows`` rows is cut into time slices
+    (``slices`` gives another non-decreasing number, say for a sequence instead of a time).
+    All slices are run at once from a guessed start, the last k ids that had first appeared by
+    then, which is right while no id returns after it was pushed out. Slices that did not start
+    with what the one before ended with are run again until all do, so the result never rests
+    on the guess; a full bucket forgets its past within a few insertions. No task reads more
+    than a slice of a large bucket, and it reads that as a stream.
     """
     order = [seen] + ([tie] if tie else [])
     rest = [c for c in nodes.columns if c not in (node, *order)]
-    rows = nodes.filter(F.col(node) != own).select(
-        bucket_index(own, F.col(node)).alias("bucket"),
-        (slices if slices is not None else time_chunk(F.col(seen), DEFAULT_SLICE_SECONDS))
-        .cast("bigint").alias("_slice"),
+    slice_no = slices if slices is not None else time_chunk(F.col(seen), DEFAULT_SLICE_SECONDS)
+    placed = nodes.filter(F.col(node) != own).select(
+        bucket_index(own, F.col(node)).alias("bucket"), slice_no.cast("bigint").alias("_slice"),
         F.col(node).alias("_id"), *order,
     )
+    # one count per bucket reaches the driver: at most 160
+    sizes = placed.groupBy("bucket").count().collect()
+    large = [r["bucket"] for r in sizes if r["count"] > whole_rows]
+    rows = placed.withColumn(
+        "_slice", F.when(F.col("bucket").isin(large), F.col("_slice")).otherwise(0)
+    )
     on = ["bucket", "_slice"]
     schema = "bucket int, _slice bigint, _end array<binary>"
 
@@ -218,31 +248,23 @@ def retain_buckets(
         if group:
             yield pd.DataFrame([(*group, list(held))], columns=[*on, "_end"])
 
-    def ends_of(starts: DataFrame) -> DataFrame:
-        started = rows.join(starts, on)
-        return store(
+    nothing = F.array().cast("array<binary>")
+
+    def ends_of(started: DataFrame) -> DataFrame:
+        return (
             started.select(*on, "_id", "_start", *order).repartition(*on)
-            .sortWithinPartitions(*on, *order).mapInPandas(run, schema),
-            "buckets",
+            .sortWithinPartitions(*on, *order).mapInPandas(run, schema)
         )
 
-    along = Window.partitionBy("bucket").orderBy("_slice")
-    nothing = F.array().cast("array<binary>")
-    starts = store(_first_comers(rows, order, k), "buckets")
-    state = store(ends_of(starts).join(starts, on), "buckets")
-    while True:
-        due = state.withColumn("_due", F.coalesce(F.lag("_end").over(along), nothing))
-        wrong = due.filter(F.col("_due") != F.col("_start")).select(*on, F.col("_due").alias("_start"))
-        if wrong.isEmpty():
-            break
-        again = ends_of(wrong).join(wrong, on)
-        state = store(
-            state.join(wrong.select(*on), on, "left_anti").unionByName(again), "buckets"
-        )
+    state = ends_of(rows.filter(~F.col("bucket").isin(large)).withColumn("_start", nothing))
+    if large:
+        sliced = rows.filter(F.col("bucket").isin(large))
+        state = state.unionByName(_settled_ends(sliced, order, k, ends_of))
     final = state.groupBy("bucket").agg(F.max_by("_end", "_slice").alias("_end")).select(
         "bucket", F.posexplode("_end").alias("_at", node)
     )
-    kept = final.select("bucket", node, (F.col("_at") + 1).alias("position"))
+    # at most k rows per bucket
+    kept = store(final.select("bucket", node, (F.col("_at") + 1).alias("position")), "buckets")
     if not rest:
         return kept
     # the address of a kept id is the one it was last seen with

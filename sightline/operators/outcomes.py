@@ -101,7 +101,7 @@ def stage_funnel(
     """
     if sample_rate < 1:
         stages = stages.filter(in_sample(F.col(key), sample_rate, always))
-    scanned = sliced_scan(stages, [key], order, lasts={"_prev": F.col(order[0])})
+    scanned = sliced_scan(stages, [key], order, maxes={"_prev": F.col(order[0])})
     gap = seconds_between(F.col("_prev"), F.col(order[0]))
     per_id = scanned.withColumn("_gap", gap)
     counts = per_id.groupBy(stage).agg(

@@ -76,7 +76,7 @@ def suppress_bad(
     order = [ts, "_kind"] + ([tie] if tie else [])
     scanned = sliced_scan(
         log, [addr], order, slice_seconds=slice_seconds,
-        lasts={"_marked": F.when(F.col("_kind") == 0, F.col(ts))},
+        maxes={"_marked": F.when(F.col("_kind") == 0, F.col(ts))},
     )
     suppressed = seconds_between(F.col("_marked"), F.col(ts)) < ttl_seconds
     return scanned.filter(

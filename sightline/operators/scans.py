@@ -38,13 +38,16 @@ def sliced_scan(
     slice_seconds: int = DEFAULT_SLICE_SECONDS,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns per key; ``order[0]`` is the time column, keys are non-null.
 
     ``sums`` are running sums up to and including the row; ``lasts`` are the latest non-null
-    value strictly before the row.
+    value strictly before the row; ``maxes`` are the largest value strictly before the row,
+    which for values that grow along the order is the latest one at the price of a plain
+    hash aggregate.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, maxes = sums or {}, lasts or {}, maxes or {}
     rows = with_slices(df, order, slice_seconds)
     position = F.struct(*order)
 
@@ -54,6 +57,7 @@ def sliced_scan(
             F.max_by(F.struct(e.alias("v")), F.when(e.isNotNull(), position)).alias(f"_last_{n}")
             for n, e in lasts.items()
         ],
+        *[F.max(e).alias(f"_max_{n}") for n, e in maxes.items()],
     )
     earlier = earlier_slices(keys)
     carried = summary.select(
@@ -64,6 +68,7 @@ def sliced_scan(
             F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}")
             for n in lasts
         ],
+        *[F.max(f"_max_{n}").over(earlier).alias(f"_carry_{n}") for n in maxes],
     )
 
     within = within_slice(keys, order)
@@ -75,6 +80,7 @@ def sliced_scan(
            for n, e in sums.items()},
         **{n: F.coalesce(F.last(e, ignorenulls=True).over(before), F.col(f"_carry_{n}.v"))
            for n, e in lasts.items()},
+        **{n: F.greatest(F.max(e).over(before), F.col(f"_carry_{n}")) for n, e in maxes.items()},
     }
     return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
@@ -109,7 +115,7 @@ def episode_starts(
         ),
     )
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = local.join(opened.select(*keys, "_slice", "_carried"), [*keys, "_slice"])
+    joined = local.join(opened.select(*keys, "_slice", "_carried"), [*keys, "_slice"], "left")
     return joined.select(
         *df.columns,
         F.coalesce(F.max("_start").over(upto), F.col("_carried")).alias(output),
@@ -124,12 +130,11 @@ def count_since(
     rows = with_slices(df, order, slice_seconds)
     within = within_slice(keys, order)
     marked_at = F.when(mark, F.col("_at"))
-    local = rows.withColumn("_at", F.row_number().over(within).cast("bigint")).withColumn(
+    placed_rows = rows.withColumn("_at", F.row_number().over(within).cast("bigint"))
+    local = placed_rows.withColumn(
         "_mark", F.max(marked_at).over(within.rowsBetween(Window.unboundedPreceding, -1))
     )
-    summary = rows.withColumn("_at", F.row_number().over(within).cast("bigint")).groupBy(
-        *keys, "_slice"
-    ).agg(F.count(F.lit(1)).alias("_rows"), F.max(marked_at).alias("_mark"))
+    summary = placed_rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"), F.max(marked_at).alias("_mark"))
     earlier = earlier_slices(keys)
     total = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
     placed = summary.withColumn("_before", total)
@@ -139,7 +144,7 @@ def count_since(
             F.last(F.col("_before") + F.col("_mark"), ignorenulls=True).over(earlier), F.lit(0)
         )).alias("_open"),
     )
-    joined = local.join(carried, [*keys, "_slice"])
+    joined = local.join(carried, [*keys, "_slice"], "left")
     return joined.select(
         *df.columns,
         F.when(F.col("_mark").isNotNull(), F.col("_at") - F.col("_mark"))

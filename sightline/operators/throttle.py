@@ -119,7 +119,7 @@ def _guessed_starts(facts: DataFrame, key: str, bucket: Bucket) -> DataFrame:
 
 def rate_limit(
     hits: DataFrame, key: str, ts: str, rate: float = 8.0, burst: float = 64.0, *,
-    tie: str, idle_seconds: float = 600.0, slice_seconds: int = DEFAULT_SLICE_SECONDS,
+    tie: str, idle_seconds: float = 600.0, slice_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``allowed`` to each hit, per key in time order, exactly.
 
@@ -128,9 +128,11 @@ def rate_limit(
     forgets its past but for a remainder. Then all slices run, and any slice that did not start
     with what the one before ended with is run again, so the result never rests on the guess.
     Units are whole numbers, so this comparison is exact. No task reads more than a slice of a
-    key as a stream, and keys hold no rows in memory.
+    key as a stream, and keys hold no rows in memory. A slice is many refill times long, so
+    that most slices tell where they end without knowing where they start.
     """
     bucket = Bucket.of(rate, burst, idle_seconds)
+    slice_seconds = slice_seconds or max(DEFAULT_SLICE_SECONDS, int(16 * burst / rate))
     rows = hits.withColumn("_us", micros(F.col(ts))).withColumn(
         "_slice", time_chunk(F.col(ts), slice_seconds)
     )

@@ -34,20 +34,22 @@ def test_against_plain_loops(spark, seed):
     scanned = sliced_scan(
         df, ["k"], ["ts", "i"], slice_seconds=300, sums={"s": F.col("v")},
         lasts={"last_marked": F.when(F.col("m"), F.col("v")), "prev": F.col("i")},
+        maxes={"top": F.when(F.col("m"), F.col("v"))},
     )
     scanned = count_since(scanned, ["k"], ["ts", "i"], F.col("m"), slice_seconds=300, output="n")
     scanned = episode_starts(scanned, ["k"], ["ts", "i"], 45_000_000, slice_seconds=300)
-    got = {r.i: (r.s, r.last_marked, r.prev, r.n, r.episode) for r in scanned.collect()}
+    got = {r.i: (r.s, r.last_marked, r.prev, r.n, r.episode, r.top) for r in scanned.collect()}
     assert len(got) == len(rows)
     for group in by_key(rows).values():
-        total, marked, prev, n, begin, last = 0, None, None, 0, None, None
+        total, marked, prev, n, begin, last, top = 0, None, None, 0, None, None, None
         for _, ts, i, m, v in group:
             total, n = total + v, n + 1
             us = int((ts - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
             if last is None or us - last > 45_000_000:
                 begin = us
             last = us
-            assert got[i] == (total, marked, prev, n, begin)
+            assert got[i] == (total, marked, prev, n, begin, top)
             prev = i
             if m:
                 marked, n = v, 0
+                top = v if top is None else max(top, v)
