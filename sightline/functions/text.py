@@ -96,7 +96,7 @@ def input_text(
     max_dirs: int = 10,
     max_dir: int = 100,
 ) -> Column:
-    """The text a row is embedded as."""
+    """The text a row is embedded as (its wording is a fixed value)."""
     head = F.transform(F.slice(dirs, 1, max_dirs), lambda d: F.substring(d, 1, max_dir))
     return F.concat(
         F.lit("Name: "), F.coalesce(F.substring(name, 1, max_name), F.lit("")),
@@ -126,7 +126,7 @@ def xml_record(
     max_files: int = 20,
     max_file: int = 200,
 ) -> Column:
-    """The XML block that describes a row to a text model."""
+    """The XML block that describes a row to a text model (tags and layout are fixed values)."""
     entries = F.transform(
         F.slice(F.coalesce(files, F.array().cast("array<string>")), 1, max_files),
         lambda f: F.concat(F.lit("  <file>"), xml_escape(f, max_file), F.lit("</file>")),

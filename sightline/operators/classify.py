@@ -292,7 +292,7 @@ def parse_answers(
 def messages(
     system: str, fewshot: list[tuple[str, str]], record: Column, retry: bool = False
 ) -> Column:
-    """Chat messages: system text, example pairs, then the record."""
+    """Chat messages: system text, example pairs, then the record below a fixed heading."""
     def entry(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 

@@ -15,6 +15,8 @@ from sightline.operators.sightings import latest_rows
 from sightline.session import store
 
 HEX_DIGITS = 40
+# Down to this depth there are at most 16 ** 4 prefixes, few enough to send to every task.
+BROADCAST_DEPTH = 4
 
 
 def _digit(hex_id: Column, position: int) -> Column:
@@ -54,6 +56,9 @@ def closest(
             .agg(F.count(F.lit(1)).alias("_n"))
             .withColumn("_p", F.substring("_c", 1, depth) if depth else F.lit(""))
         )
+        if depth < BROADCAST_DEPTH:
+            # all targets share few prefixes here; they stay where they are
+            children = F.broadcast(children)
         nearest_first = (
             Window.partitionBy("_t", "_p").orderBy("_near")
             .rowsBetween(Window.unboundedPreceding, -1)
@@ -78,6 +83,8 @@ def closest(
     found = None
     for length, read in reads:
         prefixed = ids.withColumn("_p", F.substring("_hex", 1, length) if length else F.lit(""))
+        if total <= leaf_size:
+            prefixed = F.broadcast(prefixed)
         part = read.join(prefixed, "_p").select("_t", "_id")
         found = part if found is None else found.unionByName(part)
     ranked = found.withColumn("distance", xor_distance(F.col("_t"), F.col("_id"))).withColumn(

@@ -5,12 +5,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.operators.evaluate import with_class_weight
 from sightline.session import store
@@ -78,26 +81,22 @@ class Trained:
 
     def _calibrated(self, features: Column) -> Column:
         """Mean over folds of each class's sigmoid, scaled to sum to 1 within a fold."""
-        folds = []
-        for fold in self.models:
-            parts = [
-                F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(slope) * margin(features, w, b) + F.lit(shift))))
-                for w, b, slope, shift in fold
-            ]
-            raw = F.array(*parts)
-            total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-            even = F.lit(1.0 / len(parts))
-            folds.append(F.transform(raw, lambda x: F.when(total > 0, x / total).otherwise(even)))
-        return F.array(*[
-            sum((f[i] for f in folds), F.lit(0.0)) / len(folds) for i in range(len(self.classes))
-        ])
-
-
-def margin(features: Column, weights: list[float], intercept: float) -> Column:
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(
-        F.zip_with(features, w, lambda a, b: a * b), F.lit(float(intercept)), lambda acc, x: acc + x
-    )
+        folds = [
+            tuple(np.array(part, dtype="float64") for part in zip(*fold)) for fold in self.models
+        ]
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def score(vectors: pd.Series) -> pd.Series:
+            data = np.stack(vectors.to_list()) if len(vectors) else np.empty((0, folds[0][0].shape[1]))
+            total = 0.0
+            for weights, intercepts, slopes, shifts in folds:
+                margins = data @ weights.T + intercepts
+                raw = 1.0 / (1.0 + np.exp(-(slopes * margins + shifts)))
+                sums = raw.sum(axis=1, keepdims=True)
+                total = total + np.where(sums > 0, raw / np.where(sums > 0, sums, 1), 1 / raw.shape[1])
+            return pd.Series(list(total / len(folds)))
+
+        return score(features)
 
 
 def _class_names(rows: DataFrame, label: str) -> list[str]:
@@ -150,19 +149,22 @@ def train_svm(
         is_class = (F.col("y") == index).cast("double").alias("is")
         rest = data.filter(F.col("_fold") != fold).select("features", "weight", is_class)
         n = sum(sizes.values()) - sizes.get(fold, 0)
+        # the model scores the held-out fold itself
         svm = LinearSVC(
             labelCol="is", weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * n),
             standardization=False,
         ).fit(rest)
-        w, b = [float(x) for x in svm.coefficients], float(svm.intercept)
-        held = data.filter(F.col("_fold") == fold).select(
-            is_class, "weight",
-            array_to_vector(F.array(margin(vector_to_array("features"), w, b))).alias("m"),
+        held = svm.transform(data.filter(F.col("_fold") == fold).select("features", "weight", is_class))
+        held = held.select(
+            "is", "weight", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("m")
         )
         sigmoid = LogisticRegression(
             labelCol="is", featuresCol="m", weightCol="weight", family="binomial", maxIter=20,
         ).fit(held)
-        return w, b, float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+        return (
+            [float(x) for x in svm.coefficients], float(svm.intercept),
+            float(sigmoid.coefficients[0]), float(sigmoid.intercept),
+        )
 
     tasks = [(fold, index) for fold in range(folds) for index in range(len(classes))]
     with ThreadPoolExecutor(parallelism) as pool:

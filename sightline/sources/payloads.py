@@ -135,7 +135,11 @@ def split_records(data: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(infohash, payload) of a folder of record files; each file is read by one task."""
+    """(infohash, payload) of a folder of record files.
+
+    Records can only be found from a file's start, so each file is read by one task; a record
+    dump of any size is a folder of many files below 2 GB.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
