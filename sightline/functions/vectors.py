@@ -32,6 +32,12 @@ def guarded_ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast("double") / bottom)
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """Round the binary value itself, not its shortest decimal text, halves away from zero."""
+    scale = F.lit(10.0**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def top_scored(names: list[str], scores: Column, k: int, digits: int = 4) -> Column:
     """The k best (category, confidence) pairs of a score array, best first."""
     labels = F.array(*[F.lit(n) for n in names])
@@ -41,5 +47,5 @@ def top_scored(names: list[str], scores: Column, k: int, digits: int = 4) -> Col
     best = F.slice(F.sort_array(pairs, asc=False), 1, k)
     return F.transform(
         best,
-        lambda p: F.struct(p["n"].alias("category"), F.round(p["s"], digits).alias("confidence")),
+        lambda p: F.struct(p["n"].alias("category"), rounded(p["s"], digits).alias("confidence")),
     )

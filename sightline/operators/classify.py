@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.text import xml_record
-from sightline.functions.vectors import unit
+from sightline.functions.vectors import rounded, unit
 from sightline.vocab import CATEGORIES, FALLBACK_CATEGORY, RETRY_SUFFIX
 
 # Anchor vectors sent to the tasks at once: at most this many bytes as doubles.
@@ -169,20 +169,20 @@ def cascade(
         "*",
         pick(best["category"], near["category"], F.lit(FALLBACK_CATEGORY)).alias("category"),
         pick(
-            F.round(best["confidence"], 4), F.round(near["confidence"], 4), F.lit(0.0)
+            rounded(best["confidence"]), rounded(near["confidence"]), F.lit(0.0)
         ).alias("confidence"),
         pick(F.lit("linear"), F.lit("anchor"), F.lit("fallback")).alias("method"),
         F.lit(model).alias("model"),
         F.lit(classifier).alias("classifier"),
     )
     if linear is not None:
-        rounded = F.transform(
+        top = F.transform(
             F.slice(linear, 1, 3),
             lambda c: F.struct(
-                c["category"].alias("category"), F.round(c["confidence"], 4).alias("confidence")
+                c["category"].alias("category"), rounded(c["confidence"]).alias("confidence")
             ),
         )
-        out = out.withColumn("top_candidates", rounded)
+        out = out.withColumn("top_candidates", top)
     return out
 
 
@@ -271,7 +271,7 @@ def parse_answers(
     good = category.isin(list(names)) & value.between(0.0, 1.0)
     direct = F.when(
         F.coalesce(good, F.lit(False)),
-        F.struct(category.alias("category"), F.round(value, 4).alias("confidence")),
+        F.struct(category.alias("category"), rounded(value).alias("confidence")),
     )
     out = (
         df.withColumn("_text", text)

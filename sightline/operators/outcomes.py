@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.ids import in_sample
-from sightline.functions.timing import seconds_between
+from sightline.functions.timing import micros
 from sightline.operators.scans import sliced_scan
 
 # Counter of each (phase, error) of a fetch attempt.
@@ -91,22 +91,45 @@ def count_messages(messages: DataFrame, by: list[str] | None = None) -> DataFram
     )
 
 
+def discrete_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Lower median of a whole-number column per group, exactly: (group, median).
+
+    Values are counted by millions first, then one by one within the million that holds the
+    middle, so a window orders counts of at most a million values, never the rows.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(
+        group, F.col(value).alias("_v"), F.floor(F.col(value) / 1_000_000).alias("_m")
+    )
+    upto = Window.partitionBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(group)
+    coarse = rows.groupBy(group, "_m").agg(F.count(F.lit(1)).alias("_n")).select(
+        group, "_m", "_n", F.sum("_n").over(upto.orderBy("_m")).alias("_upto"),
+        F.floor((F.sum("_n").over(whole) + 1) / 2).alias("_middle"),
+    )
+    holder = coarse.filter(
+        (F.col("_upto") >= F.col("_middle")) & (F.col("_upto") - F.col("_n") < F.col("_middle"))
+    ).select(group, "_m", (F.col("_middle") - F.col("_upto") + F.col("_n")).alias("_nth"))
+    fine = rows.groupBy(group, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")).join(
+        holder, [group, "_m"]
+    ).withColumn("_upto", F.sum("_n").over(upto.orderBy("_v")))
+    return fine.filter(F.col("_upto") >= F.col("_nth")).groupBy(group).agg(
+        F.min("_v").alias("median")
+    )
+
+
 def stage_funnel(
     stages: DataFrame, key: str, stage: str, order: list[str], sample_rate: float = 1.0,
     always: Column | None = None,
 ) -> DataFrame:
-    """Rows, ids and typical gap to the previous stage of the same id, for each stage.
-
-    The gap is a discrete median from a sketch of fixed size (exact up to 10 000 values).
-    """
+    """Rows, ids and median gap to the previous stage of the same id, for each stage."""
     if sample_rate < 1:
         stages = stages.filter(in_sample(F.col(key), sample_rate, always))
     scanned = sliced_scan(stages, [key], order, maxes={"_prev": F.col(order[0])})
-    gap = seconds_between(F.col("_prev"), F.col(order[0]))
-    per_id = scanned.withColumn("_gap", gap)
-    counts = per_id.groupBy(stage).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_gap", 0.5, 10000).alias("median_gap_s"),
+    gap = micros(F.col(order[0])) - micros(F.col("_prev"))
+    medians = discrete_median(scanned.withColumn("_gap", gap), stage, "_gap")
+    counts = stages.groupBy(stage, key).agg(F.count(F.lit(1)).alias("n")).groupBy(stage).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ids")
+    )
+    return counts.join(medians, stage, "left").select(
+        stage, "n", "n_ids", (F.col("median") / 1_000_000).alias("median_gap_s")
     )
-    ids = stages.select(stage, key).distinct().groupBy(stage).agg(F.count(F.lit(1)).alias("n_ids"))
-    return counts.join(ids, stage)
