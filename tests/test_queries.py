@@ -2,6 +2,7 @@ import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as contract
+from sightline.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"svm_report", "logreg_report"}
@@ -12,15 +13,15 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, con, name):
-    df = contract.queries()[name](spark, FOLDER)
-    assert differences(df, con, contract.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, FOLDER)
+    assert differences(df, con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_runs_without_sql(spark, name):
-    assert contract.queries()[name](spark, FOLDER).count() >= 0
+    assert QUERIES[name](spark, FOLDER).count() >= 0
 
 
 def test_entry(spark):
