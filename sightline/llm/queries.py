@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from sightline.llm import line_dedup, mixing  # noqa: F401
+from sightline.llm import hilbert, line_dedup, mixing  # noqa: F401
 from sightline.llm.registry import ORACLES, QUERIES  # noqa: F401
