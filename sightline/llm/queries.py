@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from sightline.llm import hilbert, line_dedup, maxscore, mixing, warc  # noqa: F401
+from sightline.llm import forest, hilbert, line_dedup, maxscore, mixing, warc  # noqa: F401
 from sightline.llm.registry import ORACLES, QUERIES  # noqa: F401
