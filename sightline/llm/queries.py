@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from sightline.llm import forest, hilbert, langid, line_dedup, maxscore, mixing, packing, warc  # noqa: F401
+from sightline.llm import forest, hilbert, langid, line_dedup, maxscore, mixing, packing, parity_join, warc  # noqa: F401
 from sightline.llm.registry import ORACLES, QUERIES  # noqa: F401
