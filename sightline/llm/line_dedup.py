@@ -125,7 +125,9 @@ def drop_frequent_lines(
 
     Adds ``n_lines`` (before) and ``n_dropped``; under other names if ``docs`` has these already.
     """
-    total, dropped, crc, at, out_at = fresh(docs, "n_lines", "n_dropped", "_crc", "_key", "_at")
+    total, dropped, crc, at, out_at, cut = fresh(
+        docs, "n_lines", "n_dropped", "_crc", "_key", "_at", "_lines"
+    )
     hot = frequent_lines(docs, text, key, min_docs, batches, fanout)
     marked = docs.withColumn(crc, F.crc32(F.col(text).cast("binary")))
     places = (
@@ -142,15 +144,16 @@ def drop_frequent_lines(
     joined = marked.join(
         places, same(F.col(key), F.col(at)) & same(F.col(crc), F.col(f"{crc}_r")), "left"
     )
-    lines = lines_of(F.col(text))
+    # a column of its own: inside a lambda the split would run once per line
+    joined = joined.withColumn(cut, lines_of(F.col(text)))
     gone = F.coalesce(F.col(out_at), F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), gone)
     rebuilt = F.when(F.col(out_at).isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        F.array_join(F.transform(kept, lambda i: F.get(F.col(cut), i)), "\n")
     )
     return joined.select(
         *[rebuilt.alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias(total),
+        F.size(cut).cast("long").alias(total),
         F.size(gone).cast("long").alias(dropped),
     )
 
