@@ -163,7 +163,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     taken. A round that takes all words keeps the text as it is; otherwise the text becomes the
     taken words, in order, joined by one space. Columns are those of ``docs``.
     """
-    k, m, spans, r = fresh(docs, "_k", "_m", "_spans", "_round")
+    k, m, spans, r, w = fresh(docs, "_k", "_m", "_spans", "_round", "_words")
     _, taken = mix(docs, text, key, **options)
     per_round = taken.groupBy("id", "mark", "start", "size", "round").agg(
         F.sum(F.col("last") - F.col("first")).alias("n"),
@@ -185,19 +185,23 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
         same(F.col(key), F.col(k)) & same(F.col(m), F.col(f"{m}_r"))
         & (F.abs(F.col(r) - F.col(f"{r}_r")) < 1),
     )
-    words = F.split(F.btrim(F.col(text), F.lit(SPACE)), WORD_GAP)
+    # a column of its own: inside a lambda the split would run once per span
+    whole = F.col(f"{spans}_all")
+    joined = joined.withColumn(
+        w, F.when(~whole, F.split(F.btrim(F.col(text), F.lit(SPACE)), WORD_GAP))
+    )
     cut = F.array_join(
         F.flatten(
             F.transform(
                 F.col(spans),
                 lambda s: F.slice(
-                    words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")
+                    F.col(w), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")
                 ),
             )
         ),
         " ",
     )
-    new = F.when(F.col(f"{spans}_all"), F.col(text)).otherwise(cut)
+    new = F.when(F.col(w).isNull(), F.col(text)).otherwise(cut)
     return joined.select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns])
 
 
