@@ -8,10 +8,10 @@ mean demand of the pool); when nothing fits the sequence is closed and the pool
 Pieces are dealt by hash of their id into groups of about ``group_rows``, packed one group after the
 other in each task, from a stream: a task holds one pool, however large a group is.
 
-Documents become ids by a public tokenizer, plus an end id, cut every ``limit`` ids. Text is
-tokenised word by word through a bounded cache: the tokenizer drops white space and never merges
-across it. Only words of ASCII and Latin letters take the cached short cut to the tokenizer's own
-split rule; all other words go to the tokenizer as they are.
+Documents become ids by a public tokenizer, plus an end id, cut every ``limit`` ids. Texts
+of ASCII and Latin-1 letters are split by the tokenizer's own rule, and the ids of each piece are kept
+in a bounded cache; of other texts, words of other characters go to the tokenizer as they are (it
+drops white space and never merges across it).
 
 Defined results: null and empty texts are the end id alone; a piece over a limit by itself gets a
 sequence of its own; repeated rows are packed each; an empty table gives an empty table.
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sightline.llm.common import fresh
 from sightline.llm.registry import query
 from sightline.session import store
 
@@ -36,8 +37,8 @@ END_ID = 2
 SEGMENTS = 128
 
 #: The split rule of the tokenizer, restricted to ASCII and Latin-1 letters.
-SAFE = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+SAFE = re.compile(r"[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r\x20]+")
 
 
 class Bounded(dict):
@@ -67,15 +68,7 @@ class Encoder:
         def encode(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        pieces = Bounded(encode, 500_000)
-
-        def word(raw: bytes) -> bytes:
-            text = raw.decode()
-            if SAFE.fullmatch(text) and "<|" not in text:
-                return b"".join(map(pieces.__getitem__, PIECES.findall(text.lower())))
-            return encode(text)
-
-        self.words = Bounded(word, 300_000)
+        self.encode, self.pieces = encode, Bounded(encode, 700_000)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -85,7 +78,16 @@ class Encoder:
         return cls._open[path]
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
+        text = text or ""
+        if SAFE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+        return b"".join(map(self.word, text.encode().split()))
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        if SAFE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+        return self.encode(text)
 
 
 def tokenizer_path() -> str:
@@ -171,9 +173,9 @@ def pack(
     """
     rows = store(pieces, "pieces")
     columns = rows.columns
-    order = [c for c in columns if c != "_group"]
+    (group_name,) = fresh(rows, "_group")
     groups = max(1, rows.count() // group_rows)
-    keyed = rows.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("long"))
+    keyed = rows.withColumn(group_name, F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("long"))
     at_tokens, at_loss = columns.index(tokens), columns.index(loss or tokens)
     caps = np.array(limits)
 
@@ -205,7 +207,7 @@ def pack(
 
         kind, tag = None, 0
         for batch in batches:
-            kind = kind or pa.schema([f for f in batch.schema if f.name != "_group"])
+            kind = kind or pa.schema([f for f in batch.schema if f.name != group_name])
             numbers = batch.column(batch.num_columns - 1).to_numpy()
             cuts = np.flatnonzero(np.diff(numbers)) + 1
             for start, end in zip([0, *cuts], [*cuts, len(numbers)]):
@@ -227,7 +229,7 @@ def pack(
             yield from closed(packer.add(np.zeros((0, 3)), np.zeros(0, np.int64), True))
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return keyed.repartition(int(groups), "_group").sortWithinPartitions("_group", *order).mapInArrow(
+    return keyed.repartition(int(groups), group_name).sortWithinPartitions(group_name, *columns).mapInArrow(
         place, f"{out}, sequence_id long, offset long"
     )
 
