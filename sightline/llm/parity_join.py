@@ -5,17 +5,17 @@ elements. Sizes fall into bands [2^i, 2^(i+1)); in a band any such pair differs
 elements. The elements of a set are dealt into k > d blocks by hash, and each block is sketched by
 the XOR of its elements' hashes: sets that differ in at most d elements differ in at most d block
 sketches, so one of any d + 1 blocks agrees. Sketches of non-empty blocks are joined; what meets is
-verified on the sets themselves. A set is also sketched for the band below if a partner may be there.
+compared. A set is also sketched for the band below if a partner may be there.
 
 Very common shingles (a bounded table, found on a sample of documents) are left out of the sketches:
 that only lowers the difference, so the bound holds for any such table. A set that then has d
 non-empty blocks or fewer is sketched a second time with all its shingles, and, if still too few, its
 empty blocks take part among sets of that kind. The table changes speed alone, never the result.
 
-Equal sets are folded first. Within a block's group every member is verified against one pivot, so a
-group of copies costs one comparison per member. What a group then holds beside its largest component
-is compared with the whole group's components by bit sketches (parity of the elements hashed to each
-bit), tile by tile, and pairs that the sketches allow are verified too. Sets are 64-bit shingle hashes.
+Equal sets are folded first. Within a block's group every member is compared with one pivot, so a
+group of copies costs one comparison per member; what a group then holds beside its largest component
+is compared with the whole group's components, tile by tile. Both compare bit sketches (parity of the
+elements hashed to each bit) and verify on the sets what these allow. Sets are 64-bit shingle hashes.
 
 Defined results: null and empty texts have an empty set and link with nothing; fewer words than a
 shingle make one shingle; rows that share an id keep a set and a component each; a null id links with
@@ -68,7 +68,7 @@ def block_count(band: int) -> int:
 
 
 def block_sketches(grams: np.ndarray, band: int, space: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the non-empty blocks, keys of the empty ones) of a set in a band."""
+    """(keys, numbers) of the non-empty blocks of a set in a band."""
     blocks = block_count(band)
     block = (mixed(grams, 3 + band) % np.uint64(blocks)).astype(np.int64)
     order = np.argsort(block, kind="stable")
@@ -77,29 +77,33 @@ def block_sketches(grams: np.ndarray, band: int, space: int) -> tuple[np.ndarray
     own = block[starts]
     place = (np.uint64(band) << np.uint64(40)) + (np.uint64(space) << np.uint64(36))
     parity = np.bitwise_xor.reduceat(mixed(grams, 4), starts) if len(starts) else np.zeros(0, np.uint64)
-    empty = np.setdiff1d(np.arange(blocks), own)
-    return (
-        mixed(parity ^ mixed(own.astype(np.uint64) + place)),
-        mixed(empty.astype(np.uint64) + place, 5),
-    )
+    return mixed(parity ^ mixed(own.astype(np.uint64) + place)), own
+
+
+def empty_keys(own: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the blocks other than ``own``."""
+    empty = np.setdiff1d(np.arange(block_count(band)), own)
+    return mixed(empty.astype(np.uint64) + (np.uint64(band) << np.uint64(40)), 5)
 
 
 def sketch_keys(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
     """All join keys of a set."""
     size, out = len(grams), []
-    rare = grams[~np.isin(grams, common, assume_unique=True)] if len(common) else grams
+    rare = grams
+    if len(common):
+        rare = grams[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams]
     band = band_of(size)
     for at in (band, band - 1) if band and size < 1.25 * (1 << band) else (band,):
         need = most_different(at) + 1
         if need == 1:  # only equal sets
             continue
-        keys, empty = block_sketches(rare, at, 0)
+        keys, _ = block_sketches(rare, at, 0)
         out.append(keys)
         if len(keys) < need:
-            keys, empty = block_sketches(grams, at, 1)
+            keys, own = block_sketches(grams, at, 1)
             out.append(keys)
             if len(keys) < need:
-                out.append(empty)
+                out.append(empty_keys(own, at))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -112,7 +116,7 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, member, check) per row: the set's size and its two hashes (null for an empty set)."""
+    """(id, n, member, check, bits) per row: the set's size, two hashes and bit sketch."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values in texts(batches):
@@ -122,11 +126,12 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
                 [
                     part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()),
+                    pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["id", "n", "member", "check"],
+                ["id", "n", "member", "check", "bits"],
             )
 
-    return docs.mapInArrow(describe, "id long, n long, member long, check long")
+    return docs.mapInArrow(describe, "id long, n long, member long, check long, bits binary")
 
 
 def common_shingles(docs: DataFrame, total: int, size: int) -> np.ndarray:
@@ -146,7 +151,7 @@ def common_shingles(docs: DataFrame, total: int, size: int) -> np.ndarray:
 
 
 def groups_of(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
-    """(sig, member, pivot): members that share a block sketch; equal groups appear once."""
+    """(sig, member): members that share a block sketch; equal groups appear once."""
     known = docs.sparkSession.sparkContext.broadcast(common)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def groups_of(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                 )
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "member", "pivot"]
+        names = ["sig", "member"]
 
         def closed(key: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
             """Groups of two and more of whole runs, named by their members."""
@@ -182,23 +187,18 @@ def groups_of(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
             length = np.diff(np.append(first, len(key)))
             sums = np.add.reduceat(mixed(member.view(np.uint64), 6), first)
             sig = np.repeat(mixed(sums + length.astype(np.uint64)), length)
-            pivot = np.repeat(member[first], length)
             many = np.repeat(length, length) > 1
-            return pa.RecordBatch.from_arrays(
-                [signed(sig[many]), pa.array(member[many]), pa.array(pivot[many])], names
-            )
+            return pa.RecordBatch.from_arrays([signed(sig[many]), pa.array(member[many])], names)
 
-        held_key, held_member, pivot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        held_key, held_member, long = np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
             key, member = batch.column("key").to_numpy(), batch.column("member").to_numpy()
-            if pivot is not None:  # inside a run too long to hold: it is named by its key
-                same = int(np.searchsorted(key != held_key[0], True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[:same]), pa.array(member[:same]), pa.array(np.full(same, pivot))], names
-                )
+            if long:  # inside a run too long to hold: it is named by its key
+                same = int(np.searchsorted(key != held_key[0], True))  # keys come sorted
+                yield pa.RecordBatch.from_arrays([pa.array(key[:same]), pa.array(member[:same])], names)
                 if same == len(key):
                     continue
-                key, member, held_key, held_member, pivot = key[same:], member[same:], key[:0], member[:0], None
+                key, member, held_key, held_member, long = key[same:], member[same:], key[:0], member[:0], False
             key, member = np.concatenate([held_key, key]), np.concatenate([held_member, member])
             if not len(key):
                 continue
@@ -207,61 +207,104 @@ def groups_of(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                 yield closed(key[:last], member[:last])
             held_key, held_member = key[last:], member[last:]
             if len(held_key) > HELD:
-                pivot = held_member[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(held_key), pa.array(held_member), pa.array(np.full(len(held_key), pivot))], names
-                )
-        if pivot is None and len(held_key):
+                long = True
+                yield pa.RecordBatch.from_arrays([pa.array(held_key), pa.array(held_member)], names)
+        if not long and len(held_key):
             yield closed(held_key, held_member)
 
     sketched = docs.mapInArrow(keys, "key long, member long")
     return (
         sketched.repartition("key").sortWithinPartitions("key", "member")
-        .mapInArrow(runs, "sig long, member long, pivot long").distinct()
+        .mapInArrow(runs, "sig long, member long").distinct()
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, spread: int = 256) -> DataFrame:
-    """(a, b, linked) for pairs of members, by exact intersection.
+def exactly(percent: int):
+    """Test of two sets given as sorted shingle hashes."""
+
+    def test(x: bytes, y: bytes, *_) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return test
+
+
+def by_sketch(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether sets with these bit sketches and sizes can be linked."""
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    x, y = (np.frombuffer(v, np.uint64)[None] for v in (x, y))
+    words = min(x.shape[1], y.shape[1])
+    return 9 * int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= n + m
+
+
+def passing(pairs: DataFrame, sets: DataFrame, column: str, test, spread: int = 256) -> DataFrame:
+    """The pairs (a, b) of members for which ``test`` holds on a column (and ``n``) of their ``sets``.
 
     The sets that meet one pivot are dealt over as many tasks as their number asks for.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 16)))
+    sets = sets.select("member", "n", F.col(column).alias("data"))
     slots = pairs.groupBy("a").agg((F.floor(F.count("*") / spread) + 1).alias("slots"))
-    dealt = pairs.join(slots, "a").select("a", "b", F.pmod("salt", "slots").alias("slot"))
-    others = dealt.join(sets, dealt.b == sets.member).select("a", "slot", F.lit(1).alias("role"), "b", "grams")
+    dealt = pairs.join(slots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"))
+    others = dealt.join(sets, dealt.b == sets.member).select(
+        "a", "slot", F.lit(1).alias("role"), "b", "n", "data"
+    )
     pivots = slots.join(sets, slots.a == sets.member).select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"),
-        F.lit(0).alias("role"), F.col("a").alias("b"), "grams",
+        F.lit(0).alias("role"), F.col("a").alias("b"), "n", "data",
     )
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size, now = None, 0, None
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("a", "slot", "role", "b")]
-            for row, (a, slot, role, b) in enumerate(zip(*columns)):
-                grams = np.frombuffer(batch.column("grams")[row].as_py(), np.uint64)
+            columns = [batch.column(c).to_pylist() for c in ("a", "slot", "role", "b", "n")]
+            data = batch.column("data")
+            for row, (a, slot, role, b, n) in enumerate(zip(*columns)):
                 if role == 0:
-                    own, now = grams, (a, slot)
-                elif now == (a, slot):
-                    small, large = min(len(own), len(grams)), max(len(own), len(grams))
-                    linked = False
-                    if 100 * small >= percent * large:
-                        both = len(np.intersect1d(own, grams, assume_unique=True))
-                        linked = 100 * both >= percent * (small + large - both)
-                    out.append((a, b, linked))
-            a, b, linked = zip(*out) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())],
-                ["a", "b", "linked"],
-            )
+                    own, size, now = data[row].as_py(), n, (a, slot)
+                elif now == (a, slot) and test(own, data[row].as_py(), size, n):
+                    out.append((a, b))
+            a, b = zip(*out) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return (
         pivots.unionByName(others).repartition("a", "slot").sortWithinPartitions("a", "slot", "role", "b")
-        .mapInArrow(test, "a long, b long, linked boolean")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
+def linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough, by exact intersection."""
+    pairs = store(pairs, "to-verify")
+    asked = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
+    # its true size decides how it is joined with the texts
+    wanted = store(
+        asked.join(members.select("member", "rep"), "member").select("rep", F.col("member").alias("wanted")),
+        "wanted",
     )
 
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in texts(batches):
+            sets = [shingles(value, size) for value in values]
+            own = [set_hashes(s)[0] if len(s) else None for s in sets]
+            keep = [k for k, m in enumerate(part.column("wanted").to_pylist()) if m == own[k]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([own[k] for k in keep], pa.int64()), pa.array([len(sets[k]) for k in keep], pa.int64()),
+                    pa.array([sets[k].tobytes() for k in keep], pa.binary()),
+                ],
+                ["member", "n", "grams"],
+            )
+
+    sets = docs.join(wanted, docs.id == wanted.rep).select("wanted", "text").mapInArrow(
+        sets_of, "member long, n long, grams binary"
+    )
+    return store(passing(pairs, store(sets, "verify-sets"), "grams", exactly(percent)).distinct(), "links")
+
 
 def bit_sketch(grams: np.ndarray) -> bytes:
     """The parity of the elements hashed to each bit: a power of two of bits, at least 8 an element."""
@@ -315,8 +358,7 @@ def open_pairs(groups: DataFrame, sets: DataFrame, roots: DataFrame, tile: int =
     """
     members = store(
         sets.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
-            "member", F.coalesce("root", "member").alias("root"),
-            (F.octet_length("grams") / 8).cast("long").alias("n"), "bits",
+            "member", F.coalesce("root", "member").alias("root"), "n", "bits"
         ),
         "members",
     )
@@ -409,36 +451,20 @@ def jaccard_components(
     common = common_shingles(docs, total, size)
     groups = store(groups_of(docs.filter(F.col("id").isNotNull()), common, size), "groups")
     # one row stands for all rows of a set
-    stands = known.groupBy("member").agg(F.min("id").alias("rep"))
-    wanted = groups.select("member").distinct().join(stands, "member")
-
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, values in texts(batches):
-            sets = [shingles(value, size) for value in values]
-            own = [set_hashes(s)[0] if len(s) else None for s in sets]
-            keep = [n for n, m in enumerate(part.column("member").to_pylist()) if m == own[n]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([own[n] for n in keep], pa.int64()),
-                    pa.array([sets[n].tobytes() for n in keep], pa.binary()),
-                    pa.array([bit_sketch(sets[n]) for n in keep], pa.binary()),
-                ],
-                ["member", "grams", "bits"],
-            )
-
-    sets = store(
-        docs.join(wanted, docs.id == wanted.rep).select("member", "text")
-        .mapInArrow(grams_of, "member long, grams binary, bits binary").dropDuplicates(["member"]),
-        "candidate-sets",
+    members = store(
+        known.join(groups.select("member").distinct(), "member", "left_semi").groupBy("member").agg(
+            F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        ),
+        "candidates",
     )
-    pairs = groups.filter("pivot <> member").select(
-        F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b")
+    pivots = groups.groupBy("sig").agg(F.min("member").alias("pivot"))
+    stars = groups.join(pivots, "sig").filter("pivot <> member").select(
+        F.col("pivot").alias("a"), F.col("member").alias("b")
     ).distinct()
-    links = store(verified(pairs, sets, percent), "verified").filter("linked").select("a", "b")
+    links = linked(docs, passing(stars, members, "bits", by_sketch), members, size, percent)
     roots = store(components(links), "roots")
-    rest = store(open_pairs(groups, sets, roots), "open-pairs")
-    more = store(verified(rest, sets, percent), "verified").filter("linked").select("a", "b")
-    roots = store(components(links.union(more)), "roots")
+    rest = open_pairs(groups, members, roots)
+    roots = store(components(links.union(linked(docs, rest, members, size, percent))), "roots")
     nodes = known.groupBy("member", "check").agg(F.min("id").alias("least")).join(
         roots.withColumnRenamed("node", "member"), "member", "left"
     ).withColumn("root", F.coalesce("root", "member"))
