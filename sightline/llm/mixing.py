@@ -25,7 +25,7 @@ from sightline.llm.registry import query
 from sightline.session import store
 
 ROUNDS = 16
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 8_192
 PIECE = 4096
 
 
@@ -103,6 +103,7 @@ def laid_out(words: DataFrame) -> DataFrame:
 
 def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
     """One row per slot: (sid, block_no, round, slot, shard)."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("source_size") / block)
     per = sources.filter(F.col("source_size") > 0).select(
         "sid", blocks.alias("blocks"),
@@ -110,7 +111,7 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
     ).filter(F.col("slots") > 0)
     pieces = per.select(
         "*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / PIECE))).alias("piece")
-    ).repartition(F.col("sid"), F.col("piece"))
+    ).repartition(parts, "sid", "piece")
     last = F.least(F.col("slots") - 1, F.col("piece") * PIECE + PIECE - 1)
     slots = pieces.select(
         "sid", "blocks", F.explode(F.sequence(F.col("piece") * PIECE, last)).alias("slot")
@@ -154,7 +155,8 @@ def mix(
             F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
         ).alias("block_no"),
     ).withColumns({"first": from_word, "last": to_word})
-    slots = slots_of(sources, block, shards, seed)
+    # never broadcast: a few rows per source become a slot per block
+    slots = slots_of(sources, block, shards, seed).hint("merge")
     return rows, parts.join(slots, ["sid", "block_no"]).drop("block_no")
 
 
