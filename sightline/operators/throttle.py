@@ -25,10 +25,19 @@ class Bucket:
     idle_us: int
 
     @classmethod
-    def of(cls, rate: float, burst: float, idle_seconds: float) -> Bucket:
-        share = Fraction(rate).limit_denominator(100_000)
+    def of(cls, rate: float | Fraction, burst: float, idle_seconds: float) -> Bucket:
+        """``rate`` as a whole-number fraction: as given, or the simplest one equal to a float's precision."""
+        share, limit = Fraction(rate), 100_000
+        if isinstance(rate, float):
+            exact, share = share, share.limit_denominator(limit)
+            while abs(share - exact) * 10**12 > exact:
+                limit *= 10
+                share = exact.limit_denominator(limit)
         token = share.denominator * 1_000_000
-        return cls(token, share.numerator, int(burst * token), int(idle_seconds * 1e6))
+        full = int(burst * token)
+        if max(full, token) >= 1 << 62:
+            raise ValueError(f"rate {rate} and burst {burst} do not fit into a long")
+        return cls(token, share.numerator, full, int(idle_seconds * 1e6))
 
     def refilled(self, units: int, gap_us: int) -> int:
         """Units after a pause; a long idle bucket is replaced by a full one."""

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -67,3 +68,18 @@ def test_key_that_is_always_over_the_limit(spark):
         at += rng.randrange(1, 12) / 128
         times.append(at)
     check(spark, {"hot": times, "calm": times[::100]}, 8.0, 16.0, width=5)
+
+
+def test_weekly_rate_refills():
+    from sightline.operators.throttle import Bucket
+
+    week = 7 * 86_400
+    for bucket in (Bucket.of(1 / week, 1, 10 * week), Bucket.of(Fraction(1, week), 1, 10 * week)):
+        units, allowed = bucket.full, []
+        for _ in range(6):
+            ok, units = bucket.take(units)
+            allowed.append(ok)
+            units = bucket.refilled(units, week * 1_000_000)
+        assert allowed == [True] * 6
+    with pytest.raises(ValueError):
+        Bucket.of(Fraction(1, 1 << 50), 1, week)
