@@ -14,7 +14,9 @@ def convert_labels(rows: DataFrame, label_map: DataFrame | None = None, index: s
     """Labelled rows: a row's own label, else the map's entry at its index; others are dropped."""
     own = F.when(F.col("label_category") != "", F.col("label_category"))
     if label_map is None:
-        labelled = rows.withColumn("label_category", own)
+        labelled = rows.withColumn("label_category", own).withColumn(
+            "label_keep", F.coalesce("label_keep", F.lit(True))
+        )
     else:
         entries = label_map.select(
             F.col("idx").alias(index), F.col("category").alias("_category"), F.col("keep").alias("_keep")
