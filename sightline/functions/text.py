@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightline.functions.vectors import nearest_units, once
+
 NOT_ALNUM = r"[^\p{L}\p{Nd}]+"
 
 
@@ -147,8 +149,8 @@ def xml_record(
 
 
 def _one_decimal(value: Column) -> Column:
-    """Non-negative number with one decimal, halves rounded up."""
-    tenths = F.floor(value * 10 + 0.5)
+    """Non-negative number with one decimal; exact halves go up."""
+    tenths = once(value, lambda v: nearest_units(v, 1, half_up=True))
     return F.concat(
         F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,20 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(x: Column, expression: Callable[[Column], Column]) -> Column:
+    """``expression`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(x), expression)[0]
+
+
 def unit(a: Column) -> Column:
     """The vector scaled to length 1; a zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size == 0, a.cast("array<double>")).otherwise(
-        F.transform(a, lambda x: x.cast("double") / size)
-    )
+
+    def scaled(v: Column) -> Column:
+        return once(norm(v), lambda n: F.when(n == 0, v.cast("array<double>")).otherwise(
+            F.transform(v, lambda x: x.cast("double") / n)
+        ))
+
+    return once(a, scaled)
 
 
 def guarded_ratio(top: Column, bottom: Column) -> Column:
@@ -32,10 +42,32 @@ def guarded_ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast("double") / bottom)
 
 
+def nearest_units(x: Column, digits: int, half_up: bool = False) -> Column:
+    """How many units of the last of ``digits`` decimals are nearest to a value of 0 or more.
+
+    Decided on the exact binary value; a tie goes to the even number, or up. The distance past
+    the half is exact: the value is cut into two parts of at most 26 bits, whose products with
+    the scale need no rounding.
+    """
+    double_scale = F.lit(2 * 10.0**digits)
+    below = F.floor(x * F.lit(10.0**digits))
+    wide = x * F.lit(2.0**27 + 1)
+    high = wide - (wide - x)
+    past_half = (high * double_scale - (2 * below + 1)) + (x - high) * double_scale
+    at_half = F.lit(1).cast("bigint") if half_up else F.pmod(below, F.lit(2))
+    return below + F.when(past_half > 0, 1).when(past_half == 0, at_half).otherwise(0)
+
+
 def rounded(x: Column, digits: int = 4) -> Column:
-    """Round the binary value itself, not its shortest decimal text, halves away from zero."""
-    scale = F.lit(10.0**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    """Round the exact binary value, ties to the even digit."""
+    scale = 10.0**digits
+
+    def nearest(v: Column) -> Column:
+        # larger values have no decimals that could be rounded away
+        near = F.signum(v) * nearest_units(F.abs(v), digits) / F.lit(scale)
+        return F.when(F.abs(v) < 2.0**51 / scale, near).otherwise(v)
+
+    return once(x.cast("double"), nearest)
 
 
 def top_scored(names: list[str], scores: Column, k: int, digits: int = 4) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -14,17 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.functions.ids import to_hex
 from sightline.functions.text import xml_record
-from sightline.functions.vectors import rounded, unit
+from sightline.functions.vectors import once, rounded, unit
 from sightline.vocab import CATEGORIES, FALLBACK_CATEGORY, RETRY_SUFFIX
 
 # Anchor vectors sent to the tasks at once: at most this many bytes as doubles.
 ANCHOR_BLOCK_BYTES = 32 * 1024 * 1024
 
-PARSED = T.StructType([
-    T.StructField("category", T.StringType()), T.StructField("confidence", T.DoubleType()),
-])
-
 
 def embed(items: DataFrame, text: str, model: Callable[[], Callable[[list[str]], list]], batch_size: int = 64,
           output: str = "embedding") -> DataFrame:
@@ -49,11 +45,13 @@ def embed(items: DataFrame, text: str, model: Callable[[], Callable[[list[str]],
 def hashed_embedding(items: DataFrame, text: str, size: int = 64, output: str = "embedding") -> DataFrame:
     """Model-free embedding: hashed word counts scaled to unit length (all in the JVM)."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"),
+    slots = F.transform(
+        words,
+        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(size)).cast("int"),
     )
+    counts = once(slots, lambda found: F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(found) - F.size(F.array_remove(found, i))
+    ))
     return items.withColumn(output, unit(counts).cast("array<float>"))
 
 
@@ -83,11 +81,17 @@ def anchor_scores(
 
     Returns (key, candidates: array<category, confidence>), best first, ties to the anchor that
     comes first. Anchors travel in blocks of bounded size and each task multiplies its item
-    batches with the block; per item and block only ``top`` scores leave the task.
+    batches with the block; per item and block only ``top`` scores leave the task. An item
+    without a vector, or with a null or non-finite component in it, has no candidates.
     """
     kind = items.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, candidates array<struct<category:string,confidence:double,place:bigint>>"
     parts, offset = None, 0
+    usable = F.coalesce(
+        (F.size(vector) > 0)
+        & F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)
+    )
+    nothing = F.array().cast("array<struct<category:string,confidence:double>>").alias("candidates")
 
     for names, matrix in _anchor_blocks(anchors, vector, order):
         labels = list(dict.fromkeys(names))
@@ -104,27 +108,27 @@ def anchor_scores(
                 sims = data @ matrix.T
                 best = np.stack([sims[:, g].max(axis=1) for g in groups], axis=1)
                 where = np.stack([g[sims[:, g].argmax(axis=1)] for g in groups], axis=1)
-                out = []
-                for row, places in zip(best, where):
-                    chosen = sorted(range(len(labels)), key=lambda j: (-row[j], places[j]))[:top]
-                    out.append([
-                        {"category": labels[j], "confidence": float(row[j]),
-                         "place": int(places[j]) + offset}
-                        for j in chosen
-                    ])
-                element = pa.struct([
-                    ("category", pa.string()), ("confidence", pa.float64()), ("place", pa.int64())
-                ])
+                chosen = np.lexsort((where, -best))[:, :top]
+                width = chosen.shape[1]
+                found = pa.StructArray.from_arrays(
+                    [
+                        pa.array(labels, pa.string()).take(pa.array(chosen.ravel())),
+                        pa.array(np.take_along_axis(best, chosen, 1).ravel(), pa.float64()),
+                        pa.array(np.take_along_axis(where, chosen, 1).ravel() + offset, pa.int64()),
+                    ],
+                    names=["category", "confidence", "place"],
+                )
+                ends = pa.array(np.arange(0, (len(ids) + 1) * width, width), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(out, pa.list_(element))], names=[key, "candidates"]
+                    [ids, pa.ListArray.from_arrays(ends, found)], names=[key, "candidates"]
                 )
 
-        part = items.select(key, vector).filter(F.size(vector) > 0).mapInArrow(score, schema)
+        part = items.select(key, vector).filter(usable).mapInArrow(score, schema)
         parts = part if parts is None else parts.unionByName(part)
         offset += len(names)
 
     if parts is None:
-        return items.select(key, F.array().cast("array<struct<category:string,confidence:double>>").alias("candidates"))
+        return items.select(key, nothing)
     scored = parts
     if offset > 0 and parts is not part:
         # several blocks: best anchor per category, then the best categories
@@ -143,7 +147,7 @@ def anchor_scores(
             "candidates",
             lambda c: F.struct(c["category"].alias("category"), c["confidence"].alias("confidence")),
         ).alias("candidates"),
-    )
+    ).unionByName(items.filter(~usable).select(key, nothing))
 
 
 def cascade(
@@ -200,44 +204,37 @@ _PLAIN = (
     r"(?s)^<classification>\s*<category>([^<&]*)</category>\s*"
     r"<confidence>([^<&]*)</confidence>\s*</classification>$"
 )
-_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
+# How a block and, in a cut answer, the two tags are found.
+_BLOCK = r"(?s)<classification>.*?</classification>"
+_CATEGORY_TAG = r"(?U)<category>\s*(\w+)\s*</category>"
+_CONFIDENCE_TAG = r"(?U)<confidence>\s*([\d.]+)\s*</confidence>"
 
 
-def _valid(category: str | None, number: str | None, allowed: frozenset) -> tuple | None:
-    try:
-        value = float(number)
-    except (TypeError, ValueError):
-        return None
-    return (category, round(value, 4)) if category in allowed and 0.0 <= value <= 1.0 else None
+DOCUMENT = T.StructType([T.StructField(n, T.StringType()) for n in ("root", "category", "confidence")])
 
 
-def _from_document(document: str, allowed: frozenset) -> tuple[bool, tuple | None]:
-    """(well-formed, result) of one XML document."""
+def document_fields(text: str | None) -> tuple:
+    """Root tag, category text and confidence text of an XML document; nulls if it is none."""
     try:
-        root = ET.fromstring(document)
-    except ET.ParseError:
-        return False, None
-    if root.tag != "classification":
-        return True, None
-    found = [(root.findtext(t) or "").strip() for t in ("category", "confidence")]
-    return True, _valid(*found, allowed)
-
-
-def read_answer(text: str, allowed: frozenset) -> tuple | None:
-    """Category and confidence of a model answer that is not a plain block."""
-    document, closed = _from_document(text, allowed)
-    if closed or document:
-        return closed
-    block = re.search(r"<classification>.*?</classification>", text, re.S)
-    if block:
-        document, closed = _from_document(block.group(), allowed)
-        if document:
-            return closed
-    parts = [
-        re.search(rf"<{tag}>\s*({body})\s*</{tag}>", text)
-        for tag, body in (("category", r"\w+"), ("confidence", r"[\d.]+"))
-    ]
-    return _valid(parts[0].group(1), parts[1].group(1), allowed) if all(parts) else None
+        root = ET.fromstring(text)
+    except (ET.ParseError, TypeError, ValueError):
+        return None, None, None
+    return root.tag, root.findtext("category"), root.findtext("confidence")
+
+
+@F.pandas_udf(DOCUMENT)
+def xml_documents(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(
+        [document_fields(t) for t in texts], columns=DOCUMENT.names, dtype=object
+    )
+
+
+def _both(category: Column, confidence: Column) -> Column:
+    def strip(c: Column) -> Column:
+        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    return F.struct(strip(category).alias("category"), strip(confidence).alias("number"))
 
 
 def parse_answers(
@@ -246,45 +243,48 @@ def parse_answers(
 ) -> DataFrame:
     """Add category, confidence and parse_status to raw model answers.
 
-    Fences are dropped first. A plain block is read by built-in expressions; only the other
-    answers go through Python, where they are parsed as XML, then searched for a block, then
-    for the two tags. ``aliases`` maps further category spellings to allowed ones.
+    Fences are dropped first. An answer is read as a plain block, else as an XML document, else
+    as the first block in it, else by its two tags. Only the XML of answers that are no plain
+    block goes through Python; whichever way the two texts were found, the same expressions
+    check and round them. ``aliases`` maps further category spellings to allowed ones.
     """
     allowed = list(categories or CATEGORIES)
     names = {**{c: c for c in allowed}, **(aliases or {})}
-    accepted = frozenset(names)
     text = F.trim(F.regexp_replace(F.trim(F.col(raw)), r"(?i)```(?:xml)?\s*", ""))
     text = F.regexp_replace(text, r"^\s+|\s+$", "")
 
-    @F.pandas_udf(PARSED)
-    def rest(texts: pd.Series) -> pd.DataFrame:
-        found = [read_answer(t, accepted) if t is not None else None for t in texts]
-        return pd.DataFrame(
-            [f or (None, None) for f in found], columns=["category", "confidence"]
+    def extract(pattern: str, group: int = 1) -> Column:
+        return F.regexp_extract("_text", pattern, group)
+
+    def answer(document: str) -> Column:
+        return F.when(
+            F.col(f"{document}.root") == "classification",
+            _both(F.col(f"{document}.category"), F.col(f"{document}.confidence")),
         )
 
-    plain = F.col("_text").rlike(_PLAIN)
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    category = strip(F.regexp_extract("_text", _PLAIN, 1))
-    number = strip(F.regexp_extract("_text", _PLAIN, 2))
-    value = F.when(number.rlike(_NUMBER), number.try_cast("double"))
-    good = category.isin(list(names)) & value.between(0.0, 1.0)
-    direct = F.when(
-        F.coalesce(good, F.lit(False)),
-        F.struct(category.alias("category"), rounded(value).alias("confidence")),
-    )
-    out = (
+    plain, whole = F.col("_text").rlike(_PLAIN), F.col("_whole.root").isNotNull()
+    block = F.nullif(extract(_BLOCK, 0), F.lit(""))
+    read = (
         df.withColumn("_text", text)
-        .withColumn("_rest", rest(F.when(~plain, F.col("_text"))))
-        .withColumn("_found", F.when(plain, direct).otherwise(F.col("_rest")))
+        .withColumn("_whole", xml_documents(F.when(~plain, F.col("_text"))))
+        .withColumn("_block", xml_documents(F.when(~plain & ~whole, block)))
+        .withColumn(
+            "_found",
+            F.when(plain, _both(extract(_PLAIN, 1), extract(_PLAIN, 2)))
+            .when(whole, answer("_whole"))
+            .when(F.col("_block.root").isNotNull(), answer("_block"))
+            .otherwise(_both(extract(_CATEGORY_TAG), extract(_CONFIDENCE_TAG))),
+        )
     )
+    number = F.col("_found.number")
+    value = F.when(number.rlike(_NUMBER), F.replace(number, F.lit("_"), F.lit("")).try_cast("double"))
+    ok = F.coalesce(F.col("_found.category").isin(list(names)) & value.between(0.0, 1.0), F.lit(False))
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    ok = F.col("_found.category").isNotNull()
-    return out.select(
+    return read.select(
         *df.columns,
         F.when(ok, F.element_at(lookup, F.col("_found.category")))
         .otherwise(F.lit(FALLBACK_CATEGORY)).alias("category"),
-        F.when(ok, F.col("_found.confidence")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(ok, rounded(value)).otherwise(F.lit(0.0)).alias("confidence"),
         F.when(ok, F.lit("success")).otherwise(F.lit("parse_fail")).alias("parse_status"),
     )
 
@@ -303,6 +303,11 @@ def messages(
     return F.array(*turns)
 
 
+def _shown(items: DataFrame, key: str) -> Column:
+    """An id as text; binary ids in hex."""
+    return to_hex(F.col(key)) if items.schema[key].dataType == T.BinaryType() else F.col(key).cast("string")
+
+
 def classify_with_model(
     items: DataFrame, generate: Callable[[], Callable[[list[dict]], str]], *, system: str,
     fewshot: list[tuple[str, str]] = (), key: str = "infohash", retry: bool = False,
@@ -315,7 +320,7 @@ def classify_with_model(
     written to a table first, so the second pass runs the model on failures only.
     """
     record = xml_record(
-        F.col(key).cast("string"), F.col("name"), F.col("file_count"), F.col("total_size"),
+        _shown(items, key), F.col("name"), F.col("file_count"), F.col("total_size"),
         F.col("top_dirs"),
     )
     fields = f"`{key}` {items.schema[key].dataType.simpleString()}, raw_output string, latency_ms double"

@@ -133,37 +133,15 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(rows: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """Attach the balanced weight of its class to each row."""
-    weights = class_weights(rows, label).select(label, F.col("weight").alias(output))
-    return rows.join(weights, label)
-
-
-def report_text(pairs: DataFrame, categories: list[str] | None = None) -> str:
-    """The evaluation report as text; what reaches the driver is one row per category."""
-    names = sorted(categories or CATEGORIES)
-    s = eval_summary(pairs, names).first()
-    lines = [
-        "=== Classification Report ===",
-        f"Total:       {s.total}",
-        f"Evaluated:   {s.evaluated}",
-        f"Parse fail:  {s.parse_fail} ({s.parse_fail_percent:.1f}%)",
-        f"Accuracy:    {s.correct}/{s.evaluated} ({s.accuracy * 100:.1f}%)",
-        "",
-        f"{'Category':<20} {'P':>6} {'R':>6} {'F1':>6} {'Support':>8}",
-        "-" * 52,
-    ]
-    for row in class_report(pairs, names).orderBy("category").collect():
-        lines.append(
-            f"{row.category:<20} {row.precision:>6.3f} {row.recall:>6.3f} {row.f1:>6.3f} {row.support:>8}"
-        )
-    if s.macro_f1 is not None:
-        lines.append("-" * 52)
-        lines.append(
-            f"{'Macro avg':<20} {s.macro_precision:>6.3f} {s.macro_recall:>6.3f} {s.macro_f1:>6.3f}"
-        )
-    columns = names + [MALFORMED]
-    lines += ["", "Confusion matrix (gold rows, pred cols):",
-              f"{'Gold/Pred':<20}" + "".join(f"{c[:8]:>9}" for c in columns)]
-    for row in confusion(pairs, names).orderBy("gold").collect():
-        lines.append(f"{row.gold:<20}" + "".join(f"{row[c]:>9}" for c in columns))
-    return "\n".join(lines)
+    """Attach the balanced weight of its class to each row; rows without a label are a class too."""
+    weights = class_weights(rows, label).select(F.col(label).alias("_class"), F.col("weight").alias(output))
+    return rows.join(weights, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+
+
+def report_frames(pairs: DataFrame, categories: list[str] | None = None) -> dict[str, DataFrame]:
+    """The evaluation as frames by name: one summary row, the classes, the confusion counts."""
+    return {
+        "summary": eval_summary(pairs, categories),
+        "classes": class_report(pairs, categories),
+        "confusion": confusion(pairs, categories),
+    }

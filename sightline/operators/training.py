@@ -35,15 +35,15 @@ def stratified_split(
     along = Window.partitionBy(label).orderBy("_slice")
     counts = hashed.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(
-        label, "_slice",
+        F.col(label).alias("_class"), F.col("_slice").alias("_at"),
         (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
         F.round(F.sum("_n").over(Window.partitionBy(label)) * test_fraction).alias("_want"),
     )
     rank = F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_h", key))
     return (
-        hashed.join(before, [label, "_slice"])
+        hashed.join(before, F.col(label).eqNullSafe(F.col("_class")) & (F.col("_slice") == F.col("_at")))
         .withColumn("is_test", F.col("_before") + rank <= F.col("_want"))
-        .drop("_h", "_slice", "_before", "_want")
+        .drop("_h", "_slice", "_class", "_at", "_before", "_want")
     )
 
 

@@ -55,7 +55,7 @@ def _(t):
 @query("top_scored_array", """
 WITH p AS (SELECT c_custkey, unnest(['Games', 'Music', 'Other', 'Movies']) AS category,
   unnest([c_acctbal / 10000, c_nationkey / 25.0, 0.25, (c_custkey % 100) / 100.0]) AS s FROM customer)
-SELECT c_custkey, string_agg(category || ':' || round(s, 4)::DECIMAL(9, 4), ',' ORDER BY s DESC, category DESC) AS best
+SELECT c_custkey, string_agg(category || ':' || printf('%.4f', s::DOUBLE), ',' ORDER BY s DESC, category DESC) AS best
 FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY s DESC, category DESC) <= 3)
 GROUP BY c_custkey""")
 def _(t):
@@ -188,20 +188,27 @@ def _(t):
 
 
 @query("embed_texts", """
-SELECT item_id, length(text) AS n_chars, 4 AS size FROM benchmark""")
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, 4 AS size FROM documents""")
 def _(t):
     def model():
         return lambda texts: [[float(len(x)), 1.0, 0.0, -1.0] for x in texts]
 
-    made = classify.embed(t.benchmark, "text", model)
+    made = classify.embed(t.documents, "text", model)
     return made.select(
-        "item_id", F.col("embedding")[0].cast("bigint").alias("n_chars"), F.size("embedding").alias("size")
+        "doc_id", F.col("embedding")[0].cast("bigint").alias("n_chars"), F.size("embedding").alias("size")
     )
 
 
-@query("hashed_embedding")
+@query("hashed_embedding", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+')) AS word FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS slot, count(*) AS n
+      FROM w WHERE word <> '' GROUP BY ALL)
+SELECT doc_id, slot, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM c""")
 def _(t):
-    return classify.hashed_embedding(t.benchmark, "text", 64).select("item_id", "embedding")
+    made = classify.hashed_embedding(t.documents, "text", 64)
+    return made.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0").select(
+        "doc_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value")
+    )
 
 
 @query("label_conversion", """

@@ -155,12 +155,13 @@ def _(t):
 @query("human_numbers", """
 WITH n AS (SELECT c_custkey, (abs(c_acctbal) * c_custkey * 1000)::BIGINT AS b, abs(c_acctbal) * 300 AS v FROM customer),
 s AS (SELECT *, CASE WHEN b < 1048576 THEN 1 WHEN b < 1073741824 THEN 2 WHEN b < 1099511627776 THEN 3 ELSE 4 END AS p FROM n),
-d AS (SELECT *, floor(b / pow(1024, p) * 10 + 0.5)::BIGINT AS tb, floor(v / 1e6 * 10 + 0.5)::BIGINT AS tm,
-      floor(v / 1e3 * 10 + 0.5)::BIGINT AS tk FROM s)
+x AS (SELECT *, b / pow(1024, p) AS xb, CASE WHEN v >= 1e6 THEN v / 1e6 ELSE v / 1e3 END AS xv FROM s),
+-- printf rounds the binary value itself and exact halves to even, which is down for .25 alone
+d AS (SELECT *, CASE WHEN xb - floor(xb) = 0.25 THEN floor(xb)::BIGINT || '.3' ELSE printf('%.1f', xb) END AS tb,
+  CASE WHEN xv - floor(xv) = 0.25 THEN floor(xv)::BIGINT || '.3' ELSE printf('%.1f', xv) END AS tv FROM x)
 SELECT c_custkey,
-  CASE WHEN b < 1024 THEN b || ' B' ELSE (tb // 10) || '.' || (tb % 10) || ' ' || (['KB', 'MB', 'GB', 'TB'])[p] END AS size,
-  CASE WHEN v >= 1e6 THEN (tm // 10) || '.' || (tm % 10) || 'M'
-       WHEN v >= 1e3 THEN (tk // 10) || '.' || (tk % 10) || 'k'
+  CASE WHEN b < 1024 THEN b || ' B' ELSE tb || ' ' || (['KB', 'MB', 'GB', 'TB'])[p] END AS size,
+  CASE WHEN v >= 1e6 THEN tv || 'M' WHEN v >= 1e3 THEN tv || 'k'
        ELSE floor(v + 0.5)::BIGINT || '' END AS number
 FROM d""")
 def _(t):

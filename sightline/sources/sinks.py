@@ -46,9 +46,11 @@ def append_session_marker(spark: SparkSession, path: str, at: Column) -> None:
     )
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A small report frame as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report(frames: dict[str, DataFrame], folder: str) -> None:
+    """Small report frames, each as one CSV and one JSON file below its name."""
+    for name, frame in frames.items():
+        frame.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}/csv")
+        frame.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}/json")
 
 
 class FoldTable:

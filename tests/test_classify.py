@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import input_text, xml_record
 from sightline.operators import classify, evaluate, training
+from sightline.sources.sinks import write_report
 from sightline.vocab import CATEGORIES, MALFORMED
 
 BLOCK = "<classification>\n  <category>{}</category>\n  <confidence>{}</confidence>\n</classification>"
@@ -106,6 +107,42 @@ def test_anchor_blocks_give_the_same_result(spark, monkeypatch):
     assert parts == best
 
 
+def test_items_without_a_vector_fall_back(spark):
+    nan = float("nan")
+    items = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, []), (3, None), (4, [nan, 1.0]), (5, [None, 1.0])], "i long, embedding array<float>")
+    anchors = spark.createDataFrame([("Games", [1.0, 0.0], 0)], "category string, embedding array<float>, place long")
+    scored = classify.anchor_scores(items, anchors, "i", order="place")
+    rows = classify.cascade(scored, anchor=F.try_element_at("candidates", F.lit(1))).collect()
+    assert {r.i: (r.category, r.confidence, r.method) for r in rows} == {
+        1: ("Games", 1.0, "anchor"), **dict.fromkeys([2, 3, 4, 5], ("Other", 0.0, "fallback"))}
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+    from decimal import Decimal
+
+    from sightline.functions.text import human_number
+    from sightline.functions.vectors import rounded
+
+    rng = random.Random(3)
+    values = [n / 100_000 for n in range(5, 100_000, 10)] + [rng.random() for _ in range(2000)]
+    values += [-0.00035, 0.5, 0.03125, 0.09375, 1e-9, 1e18, 12345.00005]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.x for r in df.select(rounded(F.col("v")).alias("x")).collect()] == [round(v, 4) for v in values]
+    sizes = list(range(1000, 20_000, 10)) + [1_250_000, 1_450_000, 1_750_000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    for n, got in zip(sizes, [r.x for r in df.select(human_number(F.col("n")).alias("x")).collect()]):
+        scaled = Decimal(n / 1e6) if n >= 10**6 else Decimal(n / 1e3)
+        assert Decimal(got[:-1]) == scaled.quantize(Decimal("0.1"), "ROUND_HALF_UP"), n
+
+
+def test_plain_and_xml_answers_round_alike(spark):
+    plain = BLOCK.format("Movies", "0.00035")
+    df = spark.createDataFrame([(plain,), ("so: " + plain,), (plain.replace("Movies", "Mov&#105;es"),)], "raw string")
+    assert {r.confidence for r in classify.parse_answers(df, "raw").collect()} == {round(0.00035, 4)}
+
+
 def test_cascade_thresholds(spark):
     kind = "array<struct<category:string,confidence:double>>"
     df = spark.createDataFrame(
@@ -118,7 +155,7 @@ def test_cascade_thresholds(spark):
     ]
 
 
-def test_evaluation(spark):
+def test_evaluation(spark, tmp_path):
     pairs = spark.createDataFrame(
         [("Games", "Games"), ("Games", "Music"), ("Music", MALFORMED), ("", "Games"), (MALFORMED, "Games")],
         "gold string, pred string",
@@ -129,9 +166,13 @@ def test_evaluation(spark):
     assert (report["Music"].f1, report["Music"].support) == (0.0, 1)
     s = evaluate.eval_summary(pairs).first()
     assert (s.total, s.evaluated, s.correct, s.accuracy, s.macro_f1) == (5, 4, 1, 0.25, 0.25)
-    text = evaluate.report_text(pairs)
-    assert "Accuracy:    1/4 (25.0%)" in text
-    assert text.splitlines()[-1].split() == ["Unwanted"] + ["0"] * 10
+    write_report(evaluate.report_frames(pairs), str(tmp_path))
+    read = spark.read.json(f"{tmp_path}/summary/json").first()
+    assert (read.correct, read.evaluated, read.accuracy) == (1, 4, 0.25)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/classes/csv").count() == 2
+    rows = {r.gold: r for r in spark.read.json(f"{tmp_path}/confusion/json").collect()}
+    assert (rows["Games"].Games, rows["Games"].Music, rows["Music"].MALFORMED) == (1, 1, 1)
+    assert set(rows) == set(CATEGORIES)
 
 
 def test_last_row_of_a_key_counts(spark):
