@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.timing import micros, time_chunk
 from sightline.operators.scans import DEFAULT_SLICE_SECONDS
@@ -77,10 +79,13 @@ def _slice_facts(bucket: Bucket, times: Iterator[int]) -> tuple:
     return first, last, n, full_x, exact, drained, after
 
 
-def _by_slice(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
-    """Rows of sorted batches as (key, slice, time) without holding more than a batch."""
-    for pdf in batches:
-        yield from zip(pdf[key], pdf["_slice"], pdf["_us"])
+def _tuples(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
 def _guessed_starts(facts: DataFrame, key: str, bucket: Bucket) -> DataFrame:
@@ -136,9 +141,11 @@ def rate_limit(
     first worked out from a summary of each slice: a bucket that filled up, or that ran dry,
     forgets its past but for a remainder. Then all slices run, and any slice that did not start
     with what the one before ended with is run again, so the result never rests on the guess.
-    Units are whole numbers, so this comparison is exact. No task reads more than a slice of a
-    key as a stream, and keys hold no rows in memory. A slice is many refill times long, so
-    that most slices tell where they end without knowing where they start.
+    Units are whole numbers, so this comparison is exact. These rounds read the key and the time
+    of hits and write one row per slice; the hits themselves are passed through once, at the end,
+    as Arrow columns. No task reads more than a slice of a key as a stream, and keys hold no rows
+    in memory. A slice is many refill times long, so that most slices tell where they end without
+    knowing where they start. Hits without a key share one bucket.
     """
     bucket = Bucket.of(rate, burst, idle_seconds)
     slice_seconds = slice_seconds or max(DEFAULT_SLICE_SECONDS, int(16 * burst / rate))
@@ -147,74 +154,99 @@ def rate_limit(
     )
     on = [key, "_slice"]
     kind = hits.schema[key].dataType.simpleString()
+    long, columns = pa.int64(), hits.columns
     names = ["first", "last", "n", "full_end", "exact_end", "drained_us", "after"]
+    ends = ["_units", "_since", "_end", "_final"]
+
+    def longs(added: list[str]) -> str:
+        return f"`{key}` {kind}, _slice bigint, " + ", ".join(f"{n} bigint" for n in added)
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from itertools import groupby
+    def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Join on (key, slice), null keys included."""
+        named = right.withColumnsRenamed({key: "_who", "_slice": "_no"})
+        both = F.col(key).eqNullSafe(F.col("_who")) & (F.col("_slice") == F.col("_no"))
+        return left.join(named, both, how).drop("_who", "_no")
 
-        out = []
-        for (who, number), group in groupby(_by_slice(batches, key), key=lambda r: r[:2]):
-            out.append((who, number, *_slice_facts(bucket, (r[2] for r in group))))
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, out = [], []
+
+        def hits_in_order() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = [batch.schema.field(key).type] + [long] * (1 + len(names))
+                yield from _tuples(batch, key, "_slice", "_us")
+
+        for group, found in groupby(hits_in_order(), key=lambda r: r[:2]):
+            out.append((*group, *_slice_facts(bucket, (r[2] for r in found))))
             if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=[*on, *names]).convert_dtypes()
+                yield _batch(out, [*on, *names], kinds)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=[*on, *names]).convert_dtypes()
+            yield _batch(out, [*on, *names], kinds)
 
     facts = (
         rows.select(*on, "_us").repartition(*on).sortWithinPartitions(*on, "_us")
-        .mapInPandas(summarise, f"`{key}` {kind}, _slice bigint, " + ", ".join(f"{n} bigint" for n in names))
+        .mapInArrow(summarise, longs(names))
     )
-    starts = store(_guessed_starts(store(facts, "throttle"), key, bucket), "throttle")
-
-    columns = [*rows.columns, "_units", "_since"]
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields
-    ) + ", allowed boolean, _after bigint"
+    starts = _guessed_starts(store(facts, "throttle"), key, bucket)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Each batch of sorted hits with their outcome and the units they leave."""
         group, units, last = None, 0, None
-        for pdf in batches:
+        for batch in batches:
             allowed, left = [], []
-            given = zip(pdf[key], pdf["_slice"], pdf["_us"], pdf["_units"], pdf["_since"])
-            for who, number, now, begin, since in given:
+            for who, number, now, begin, since in _tuples(batch, *on, "_us", "_units", "_since"):
                 if (who, number) != group:
                     group = (who, number)
-                    units, last = (bucket.full, now) if begin is None else (int(begin), int(since))
+                    units, last = (bucket.full, now) if begin is None else (begin, since)
                 ok, units = bucket.take(bucket.refilled(units, now - last))
                 last = now
                 allowed.append(ok)
                 left.append(units)
-            yield pdf.drop(columns=["_units", "_since"]).assign(allowed=allowed, _after=left)
-
-    def simulate(some: DataFrame) -> DataFrame:
-        # long integers with nulls would arrive as floats, so units travel as text
-        begun = rows.join(some, on).select(
-            *rows.columns, F.col("_units").cast("string"), F.col("_since").cast("string")
-        )
-        return store(
-            begun.select(*columns).repartition(*on).sortWithinPartitions(*on, "_us", tie)
-            .mapInPandas(run, schema), "throttle",
+            yield batch, allowed, left
+
+    def last_of_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kinds = None, []
+        for batch, _, left in replay(batches):
+            kinds = [batch.schema.field(key).type] + [long] * (1 + len(ends))
+            out = []
+            for (*start, now), units in zip(_tuples(batch, *on, "_units", "_since", "_us"), left):
+                if held and held[:2] != tuple(start[:2]):
+                    out.append(held)
+                held = (*start, units, now)
+            yield _batch(out, [*on, *ends], kinds)
+        if held:
+            yield _batch([held], [*on, *ends], kinds)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, allowed, _ in replay(batches):
+            given = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [*given, pa.array(allowed, pa.bool_())], names=[*columns, "allowed"]
+            )
+
+    def ends_of(some: DataFrame) -> DataFrame:
+        return (
+            matched(rows.select(*on, "_us"), some, "inner").repartition(*on)
+            .sortWithinPartitions(*on, "_us").mapInArrow(last_of_slices, longs(ends))
         )
 
-    done = simulate(starts)
+    state = store(ends_of(starts), "throttle")
+    along = Window.partitionBy(key).orderBy("_slice")
     while True:
-        ends = done.groupBy(*on).agg(
-            F.max_by("_after", F.struct("_us", tie)).alias("_end"), F.max("_us").alias("_final")
-        )
-        along = Window.partitionBy(key).orderBy("_slice")
-        checked = starts.join(ends, on).select(
-            *on, "_units", "_since", F.lag("_end").over(along).alias("_true"),
-            F.lag("_final").over(along).alias("_at"),
-        )
         wrong = store(
-            checked.filter(F.col("_units").isNotNull() & (F.col("_units") != F.col("_true")))
+            state.select(
+                *on, "_units", F.lag("_end").over(along).alias("_true"), F.lag("_final").over(along).alias("_at")
+            )
+            .filter(F.col("_units").isNotNull() & (F.col("_units") != F.col("_true")))
             .select(*on, F.col("_true").alias("_units"), F.col("_at").alias("_since")),
             "throttle",
         )
         if wrong.isEmpty():
             break
-        keep = lambda df: df.join(wrong.select(*on), on, "left_anti")
-        done = store(keep(done).unionByName(simulate(wrong)), "throttle")
-        starts = store(keep(starts).unionByName(wrong), "throttle")
-    return done.select(*hits.columns, "allowed")
+        right = matched(state, wrong.select(*on), "left_anti")
+        state = store(right.unionByName(ends_of(wrong)), "throttle")
+    schema = T.StructType([*hits.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return (
+        matched(rows, state.select(*on, "_units", "_since"), "inner").repartition(*on)
+        .sortWithinPartitions(*on, "_us", tie).mapInArrow(decide, schema)
+    )

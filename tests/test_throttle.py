@@ -83,3 +83,11 @@ def test_weekly_rate_refills():
         assert allowed == [True] * 6
     with pytest.raises(ValueError):
         Bucket.of(Fraction(1, 1 << 50), 1, week)
+
+
+def test_other_columns_and_null_keys_come_back_as_they_were(spark):
+    rows = [(1, START, 0, 9007199254740993), (None, START, 1, None), (None, START, 2, 9007199254740995), (1, START, 3, None)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, i long, big long")
+    found = throttle.rate_limit(df, "k", "ts", 1.0, 1.0, tie="i")
+    assert sorted((r.i, r.k, r.big, r.allowed) for r in found.collect()) == [
+        (0, 1, 9007199254740993, True), (1, None, None, True), (2, None, 9007199254740995, False), (3, 1, None, False)]
