@@ -314,7 +314,7 @@ def hold_out(t, train):
 
 @query("logreg_report")
 def _(t):
-    return hold_out(t, lambda rows: training.train_logreg(rows, "label", max_iter=100))
+    return hold_out(t, lambda rows: training.train_logreg(rows, "label"))
 
 
 @query("svm_report")
