@@ -34,7 +34,7 @@ best AS (SELECT vec_id, max_by(category, x) AS cx, max(x) AS x, max_by(category,
 SELECT vec_id, cx AS category, round(x, 6) AS score FROM best""")
 def _(t):
     scored = classify.anchor_scores(t.embeddings, anchors(t), "vec_id", order="place")
-    best = F.col("candidates")[0]
+    best = F.try_element_at("candidates", F.lit(1))
     return scored.select(
         "vec_id", best["category"].alias("category"), F.round(best["confidence"], 6).alias("score")
     )
