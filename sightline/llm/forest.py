@@ -1,12 +1,17 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Equal vectors are folded into one first. Each tree splits recursively: a random direction, cut at
-the median; vectors near the cut go to both sides (spill). Directions and cuts are fitted on a
-sample of at most ``sample`` vectors; every vector is then sent down every tree. Vectors that share
-a leaf are compared in double precision; a pair is counted only in the first leaf the two share, so
-no pair is ever written: a leaf reports per vector the number of its links and one root. Roots are
-joined to components. A leaf of more than ``tile`` vectors is compared tile by tile, so one task
-holds two tiles at most, whatever a leaf's share of the rows.
+Equal vectors are folded into one first. Each tree splits recursively along a random direction;
+vectors near the cut go to both sides (spill). How near is a distance: the projected gap of two
+vectors at the threshold, so linked vectors stay together at every depth and table size. The cut is
+placed where the two sides have the fewest pairs, and a node no cut of which saves pairs (its spread
+is of the size of the gap: a near-copy group) stays a leaf, however many vectors it holds.
+Directions and cuts are fitted on a sample of at most ``sample`` vectors; every vector is then sent
+down every tree. Vectors that share a leaf are compared in double precision; a pair is counted only
+in the first leaf the two share, so no pair is ever written: a leaf reports per vector the number of
+its links and one root. Roots are joined to components. A leaf of more than ``tile`` vectors is
+compared tile by tile, so one task holds two tiles at most, whatever a leaf's share of the rows;
+its vectors that share one earlier leaf anyway (a group that stays whole in several trees) meet the
+others only.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are their own component; a shorter vector counts as padded with zeros; a row without id
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.components import components
 from sightline.llm.registry import query
@@ -36,22 +41,51 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+#: Pairs left by a split, as a share of the node's: up to WORTH it is made, at GOOD no other is drawn.
+WORTH, GOOD, DRAWS = 0.9, 0.7, 8
+
+
+def cheapest_cut(along: np.ndarray, gap: float) -> tuple[float, float]:
+    """(share of pairs left, cut) of the cut between the outer fifths that leaves the fewest pairs."""
+    along = np.sort(along)
+    cuts = np.quantile(along, np.linspace(0.2, 0.8, 25))
+    left = np.searchsorted(along, cuts + gap / 2, "right") / len(along)
+    right = 1 - np.searchsorted(along, cuts - gap / 2, "left") / len(along)
+    pairs = left**2 + right**2
+    at = int(pairs.argmin())
+    return float(pairs[at]), float(cuts[at])
+
+
 class Tree:
-    """Complete tree of ``depth`` levels: per inner node a direction and the cuts for each side."""
+    """Complete tree of ``depth`` levels: per inner node a direction and the cuts for each side.
+
+    A node that is not split hands everything to the left.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, seed: int):
+    def __init__(self, sample: np.ndarray, depth: int, gap: float, least: int, seed: int):
         draw = np.random.default_rng(seed)
         self.depth, width = depth, sample.shape[1]
-        self.directions = draw.standard_normal((1 << depth, width)).astype(np.float32)
-        self.low, self.high = np.zeros(1 << depth), np.zeros(1 << depth)
+        self.directions = np.zeros((1 << depth, width), np.float32)
+        self.low, self.high = np.full(1 << depth, np.inf), np.full(1 << depth, np.inf)
         inside = {1: np.arange(len(sample))}
         for node in range(1, 1 << depth):
             rows = inside.pop(node, np.zeros(0, int))
-            along = sample[rows] @ self.directions[node]
-            if len(rows):
-                self.low[node], self.high[node] = np.quantile(along, [0.5 - spill, 0.5 + spill])
-            inside[2 * node] = rows[along <= self.high[node]]
-            inside[2 * node + 1] = rows[along >= self.low[node]]
+            if len(rows) <= least:
+                continue
+            best = WORTH
+            for _ in range(DRAWS):
+                direction = draw.standard_normal(width).astype(np.float32)
+                direction *= np.sqrt(width) / np.linalg.norm(direction)
+                along = sample[rows] @ direction
+                pairs, at = cheapest_cut(along, gap)
+                if pairs < best:
+                    best, self.directions[node], kept = pairs, direction, along
+                    self.low[node], self.high[node] = at - gap / 2, at + gap / 2
+                if best <= GOOD:
+                    break
+            if best < WORTH:
+                inside[2 * node] = rows[kept <= self.high[node]]
+                inside[2 * node + 1] = rows[kept >= self.low[node]]
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs; a row is in every leaf it spills into."""
@@ -98,12 +132,19 @@ def labels(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
+def tiles_of(count: str, tile: int) -> Column:
+    return F.when(F.col(count) > 0, F.floor(F.col(count) / tile) + 1).otherwise(F.lit(0)).cast("long")
+
+
 def near_duplicates(
     vectors: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding",
-    trees: int = 6, spill: float = 0.06, leaf: int = 512, sample: int = 8192, tile: int = 1024,
+    trees: int = 6, spill: float = 1.0, leaf: int = 512, sample: int = 8192, tile: int = 1024,
     seed: int = 7,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) per row of ``vectors``."""
+    """(id, n_links, component_id, kept) per row of ``vectors``.
+
+    ``spill``: what goes to both sides of a cut, in projected gaps of a pair at the threshold.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     good = rows.filter(F.col("id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0))
@@ -114,8 +155,11 @@ def near_duplicates(
     picked = classes.orderBy(F.xxhash64("node")).limit(sample).select("v").toPandas()
     fitted = unit(matrix(picked["v"])) if len(picked) else np.zeros((0, 1))
     depth = max(0, min(int(np.ceil(np.log2(max(1, total) / leaf))), int(np.log2(max(1, sample) / 16))))
+    # two unit vectors at the threshold are this far apart, and so are on average their projections
+    gap = spill * float(np.sqrt(max(0.0, 2 - 2 * least)))
+    fewest = max(32, int(leaf * len(fitted) / max(1, total)))
     forest = spark.sparkContext.broadcast(
-        [Tree(fitted, depth, spill, seed + n) for n in range(trees)]
+        [Tree(fitted, depth, gap, fewest, seed + n) for n in range(trees)]
     )
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +190,31 @@ def near_duplicates(
         classes.mapInArrow(descend, "node long, weight long, unit binary, code int, leaves array<int>"),
         "leaves",
     )
+    # of a leaf of several tiles: the earlier leaf that most of its vectors share. Those were compared
+    # there with each other, so their tiles meet the tiles of the other vectors only
+    sizes = placed.groupBy("code").count()
+    large = sizes.filter(F.col("count") > tile).select("code")
+    usual = placed.join(large, "code").select(
+        "code", F.explode(F.filter("leaves", lambda x: x < F.col("code"))).alias("earlier")
+    ).groupBy("code", "earlier").count().groupBy("code").agg(
+        F.max(F.struct("count", "earlier"))["earlier"].alias("earlier")
+    )
+    seen = F.coalesce(F.array_contains("leaves", F.col("earlier")), F.lit(False))
+    placed = placed.join(F.broadcast(usual), "code", "left").withColumn("seen", seen).drop("earlier")
     # tiles of a leaf: a vector of part p meets parts 0..p as (other, p) and p.. as (p, other)
-    parts = placed.groupBy("code").agg((F.floor(F.count("*") / tile) + 1).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    tiles = placed.join(parts, "code").withColumn("part", part).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    parts = placed.groupBy("code").agg(
+        F.count_if("seen").alias("n_seen"), F.count_if(~F.col("seen")).alias("n_new")
+    ).select(
+        "code", tiles_of("n_seen", tile).alias("seen_parts"), tiles_of("n_new", tile).alias("new_parts")
+    )
+    hashed = F.xxhash64("node")
+    tiles = placed.join(parts, "code").withColumn(
+        "part", F.when(F.col("seen"), F.pmod(hashed, F.col("seen_parts")))
+        .otherwise(F.col("seen_parts") + F.pmod(hashed, F.col("new_parts")))
+    ).withColumn("from", F.when(F.col("seen"), F.col("seen_parts")).otherwise(F.lit(0))).withColumn(
+        "upto", F.col("seen_parts") + F.col("new_parts") - 1
+    ).filter(F.col("from") <= F.col("upto")).select(
+        "*", F.explode(F.sequence("from", "upto")).alias("other")
     ).select(
         "code", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"),
         (F.col("part") <= F.col("other")).alias("is_left"), "node", "weight", "unit", "leaves",
@@ -173,8 +237,10 @@ def near_duplicates(
             i, j = left[i], right[j]
             np.add.at(links, i[first], weight[j[first]])
             np.add.at(links, j[first], weight[i[first]])
-            joined = labels(len(v), np.concatenate([i, np.arange(len(v))]), np.concatenate([j, root]))
-            root = joined
+            apart = root[i] != root[j]
+            if apart.any():
+                i, j = i[apart], j[apart]
+                root = labels(len(v), np.concatenate([i, np.arange(len(v))]), np.concatenate([j, root]))
         hit = (links > 0) | (root != np.arange(len(v)))
         return pd.DataFrame({"node": node[hit], "links": links[hit], "root": node[root[hit]]})
 

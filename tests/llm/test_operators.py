@@ -225,6 +225,20 @@ def test_forest_against_brute_force(spark):
     assert got.n_links.sum() >= 0.9 * links.sum() > 0
 
 
+@pytest.mark.parametrize("rows", [1500, 6000])
+def test_forest_keeps_large_groups(spark, rows):
+    draw = np.random.default_rng(5)
+    v = draw.standard_normal((rows, 64))
+    v[: rows // 3] = v[0] / np.linalg.norm(v[0]) + np.sqrt(0.03 / 0.97 / 64) * v[: rows // 3]
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = forest.near_duplicates(df, leaf=32, tile=300).toPandas().sort_values("id")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert (got.n_links.to_numpy() <= links).all()
+    assert got.n_links.sum() >= 0.98 * links.sum() > 0
+    assert set(got.component_id[: rows // 3]) == {0}
+
+
 def test_forest_odd_vectors(spark, tmp_path):
     got = {r.id: (r.n_links, r.component_id, r.kept) for r in forest.near_duplicates(odd_vectors(spark, tmp_path)).collect()}
     assert {got[n] for n in (1, 2, 3, 4, 5, 6)} == {(0, n, True) for n in (1, 2, 3, 4, 5, 6)}
