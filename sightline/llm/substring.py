@@ -4,10 +4,11 @@ Every window of a text has an anchor: the least hash of its word grams (leftmost
 windows with one anchor form a region; every window lies in exactly one region, and equal windows
 have equal anchors, so all occurrences of a window lie in regions of one anchor. Regions whose anchor
 occurs once in the corpus are done. Equal regions are folded into one with a weight. For each anchor
-with different regions, suffix automata of its regions (in shards of ``SHARD`` regions, one held at a
-time) count occurrences; all regions of the anchor are streamed past each shard for their matching
-statistics, and a window counted twice or more in all shards together is marked. Marked spans go
-back to the documents, which lose every covered word.
+with different regions, a suffix automaton of its regions counts occurrences; the regions are streamed
+past it for their matching statistics, and a window counted twice or more is marked. An anchor of more
+than ``SHARD`` regions is not gathered: the windows of its different regions are counted by a 128-bit
+hash in a plain aggregation, so a task holds at most ``SHARD`` regions of at most 62 words. Marked
+spans go back to the documents, which lose every covered word.
 
 The automata are not sent to all tasks: with the corpus as its own reference that would stream every
 document past every shard; the anchor decides which shards a region can match at all.
@@ -16,7 +17,7 @@ Very common grams (a bounded table, found on a sample) are the last choice as an
 anchor of a window at the edge of a common passage is one of its own words' grams and groups stay
 small. The table changes speed alone: any order of grams gives the same windows.
 
-Words are compared by 64-bit hashes. Defined results: null and empty texts have no words; texts
+Words are compared by 64-bit hashes, windows of large anchors by two of them. Defined results: null and empty texts have no words; texts
 shorter than a window lose none; repeated rows are documents of their own (their windows repeat);
 rows that agree in id and text get the same answer; an empty table gives an empty table.
 """
@@ -236,18 +237,17 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             sequences = [np.frombuffer(r["hashes"], np.uint64).tolist() for r in rows]
-            counts = [np.zeros(max(0, len(s) - length + 1), np.int64) for s in sequences]
-            for at in range(0, len(rows), SHARD):
-                automaton = SuffixAutomaton()
-                for row, words in zip(rows[at : at + SHARD], sequences[at : at + SHARD]):
-                    automaton.add(words, row["weight"])
-                automaton.finish()
-                for count, row, words in zip(counts, rows, sequences):
-                    if row["weight"] < 2:  # all windows of the others repeat anyway
-                        count += automaton.occurrences(words, length)
-            spans = [
-                spans_of((count >= 2) | (row["weight"] >= 2), length) for count, row in zip(counts, rows)
-            ]
+            automaton = SuffixAutomaton()
+            for row, words in zip(rows, sequences):
+                automaton.add(words, row["weight"])
+            automaton.finish()
+            spans = []
+            for row, words in zip(rows, sequences):
+                if row["weight"] < 2:
+                    repeats = automaton.occurrences(words, length) >= 2
+                else:  # all windows repeat
+                    repeats = np.ones(max(0, len(words) - length + 1), bool)
+                spans.append(spans_of(repeats, length))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["anchor"] for r in rows], pa.int64()),
@@ -272,6 +272,49 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
+def window_spans(texts: DataFrame, length: int) -> DataFrame:
+    """What ``repeated_spans`` returns, without gathering an anchor's regions."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            row, place, low, high = [], [], [], []
+            for at, own in enumerate(part.column("hashes").to_pylist()):
+                words = np.frombuffer(own, np.uint64)
+                low.append(gram_hashes(words, length))
+                high.append(gram_hashes(mixed(words, 11), length))
+                row.append(np.full(len(low[-1]), at))
+                place.append(np.arange(len(low[-1])))
+            rows = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("anchor").take(rows), part.column("content").take(rows),
+                    part.column("weight").take(rows), pa.array(np.concatenate(place), pa.int32()),
+                    pa.array(np.concatenate(low).view(np.int64)), pa.array(np.concatenate(high).view(np.int64)),
+                ],
+                ["anchor", "content", "weight", "place", "low", "high"],
+            )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            spans = []
+            for places in part.column("places").to_pylist():
+                marked = np.zeros(max(places) + 1, bool)
+                marked[places] = True
+                spans.append(spans_of(marked, length))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("anchor"), part.column("content"), pa.array(spans, SPANS)],
+                ["anchor", "content", "spans"],
+            )
+
+    windows = store(
+        texts.mapInArrow(cut, "anchor long, content long, weight long, place int, low long, high long"), "windows"
+    )
+    twice = windows.groupBy("low", "high").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
+    return windows.join(twice, ["low", "high"]).groupBy("anchor", "content").agg(
+        F.collect_list("place").alias("places")
+    ).mapInArrow(join, "anchor long, content long, spans array<struct<from:int,upto:int>>")
+
+
 SPANS = pa.list_(pa.struct([("from", pa.int32()), ("upto", pa.int32())]))
 
 
@@ -286,15 +329,20 @@ def drop_repeats(
     repeated = store(
         found.groupBy("anchor").agg(
             F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")
-        ).filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")),
+        ).filter("n > 1").select(
+            "anchor", (F.col("low") != F.col("high")).alias("several"), (F.col("n") > SHARD).alias("large")
+        ),
         "anchors",
     )
     candidates = store(found.join(repeated, "anchor"), "candidates")
-    wanted = candidates.filter("several").groupBy("anchor", "content").agg(
+    wanted = candidates.filter("several").groupBy("anchor", "content", "large").agg(
         F.count("*").alias("weight"), F.first("words").alias("words"),
         F.min(F.struct("id", "mark", "start")).alias("rep"),
     )
-    decided = store(repeated_spans(region_words(docs, wanted), length), "decided").filter(F.size("spans") > 0)
+    decided = repeated_spans(region_words(docs, wanted.filter("not large")), length)
+    if not repeated.filter("several and large").isEmpty():
+        decided = decided.union(window_spans(region_words(docs, wanted.filter("large")), length))
+    decided = store(decided, "decided").filter(F.size("spans") > 0)
     spans = candidates.filter("several").join(decided, ["anchor", "content"]).select(
         "id", "mark", F.explode(
             F.transform("spans", lambda s: F.struct(

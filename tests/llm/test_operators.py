@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,6 +214,30 @@ def test_suffix_automaton_counts():
                 assert got[at] == want
 
 
+def test_large_anchor_groups_are_not_gathered(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    sentences = [[f"w{x}" for x in draw.integers(0, 5000, 12)] for _ in range(12)]
+    texts = [sum((sentences[k] for k in draw.integers(0, 12, 8)), []) for _ in range(60)]
+    held = []
+
+    def watched(rows, length, decide=substring.repeated_spans):
+        held.append(max((r["count"] for r in rows.groupBy("anchor").count().collect()), default=0))
+        return decide(rows, length)
+
+    monkeypatch.setattr(substring, "SHARD", 8)
+    monkeypatch.setattr(substring, "repeated_spans", watched)
+    df = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.kept for r in substring.drop_repeats(df).collect()}
+    length = substring.LENGTH
+    windows = [[tuple(t[at : at + length]) for at in range(len(t) - length + 1)] for t in texts]
+    times = Counter(itertools.chain(*windows))
+    for n, t in enumerate(texts):
+        gone = {at + k for at, w in enumerate(windows[n]) if times[w] > 1 for k in range(length)}
+        assert got[n] == " ".join(w for at, w in enumerate(t) if at not in gone)
+    assert 0 < sum(c > 1 for c in times.values()) < len(times)
+    assert max(held) <= 8
+
+
 def test_forest_against_brute_force(spark):
     draw = np.random.default_rng(3)
     centres = draw.standard_normal((300, 32))
