@@ -159,7 +159,8 @@ def train_svm(
             "is", "weight", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("m")
         )
         sigmoid = LogisticRegression(
-            labelCol="is", featuresCol="m", weightCol="weight", family="binomial", maxIter=20,
+            labelCol="is", featuresCol="m", weightCol="weight", family="binomial",
+            maxIter=max_iter,
         ).fit(held)
         return (
             [float(x) for x in svm.coefficients], float(svm.intercept),

@@ -319,4 +319,4 @@ def _(t):
 
 @query("svm_report")
 def _(t):
-    return hold_out(t, lambda rows: training.train_svm(rows, "label", "vec_id", max_iter=8))
+    return hold_out(t, lambda rows: training.train_svm(rows, "label", "vec_id"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import input_text, xml_record
 from sightline.operators import classify, evaluate, training
+from sightline.plans import QUERIES
 from sightline.sources.sinks import write_report
 from sightline.vocab import CATEGORIES, MALFORMED
 
@@ -208,3 +209,25 @@ def test_training_learns_and_survives_saving(spark, clusters, algorithm, tmp_pat
     assert abs(sum(c.confidence for c in rows[0].linear) - 1) < 1e-6
     first = model.predict(clusters).select("pred").collect()
     assert [r.pred for r in first] == [r.pred for r in rows]
+
+
+def test_svm_iterations_are_not_cut(spark, clusters, monkeypatch):
+    limits = []
+
+    def watched(kind):
+        return lambda **settings: limits.append(settings["maxIter"]) or kind(**settings | {"maxIter": 3})
+
+    for name in ("LinearSVC", "LogisticRegression"):
+        monkeypatch.setattr(training, name, watched(getattr(training, name)))
+    training.train_svm(clusters, "label", "id", folds=2)
+    assert limits == [2000] * 12
+
+    class Reached(Exception):
+        pass
+
+    def train(*_, **settings):
+        raise Reached(settings.get("max_iter"))
+
+    monkeypatch.setattr(training, "train_svm", train)
+    with pytest.raises(Reached, match="None"):
+        QUERIES["svm_report"](spark, "/root/testdata/sf0.001")
