@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The white space of the word and line rules: [\x20\x09-\x0D].
@@ -40,3 +45,16 @@ def n_words(text: Column) -> Column:
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of ``column`` in one have at most ``limit`` bytes, or it is one row."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
+        upto, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -1,4 +1,6 @@
 """All queries of this subpackage."""
 
-from sightline.llm import forest, hilbert, langid, line_dedup, maxscore, mixing, packing, parity_join, substring, warc  # noqa: F401
+from sightline.llm import (  # noqa: F401
+    forest, hilbert, langid, line_dedup, maxscore, mixing, packing, parity_join, sentence_pieces, substring, warc,
+)
 from sightline.llm.registry import ORACLES, QUERIES  # noqa: F401
