@@ -4,8 +4,9 @@ Two sets with Jaccard similarity of at least 0.8 and sizes a, b differ in at mos
 elements. Sizes fall into bands [2^i, 2^(i+1)); in a band any such pair differs in at most d
 elements. The elements of a set are dealt into k > d blocks by hash, and each block is sketched by
 the XOR of its elements' hashes: sets that differ in at most d elements differ in at most d block
-sketches, so one of any d + 1 blocks agrees. Sketches of non-empty blocks are joined; what meets is
-compared. A set is also sketched for the band below if a partner may be there.
+sketches, so one of any d + 1 blocks agrees. A set sends the sketches of its first d + 1 non-empty
+blocks: before the first block in which two sets agree each has at most d others, so both send it.
+What meets is compared. A set is also sketched for the band below if a partner may be there.
 
 Very common shingles (a bounded table, found on a sample of documents) are left out of the sketches:
 that only lowers the difference, so the bound holds for any such table. A set that then has d
@@ -98,10 +99,10 @@ def sketch_keys(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
         if need == 1:  # only equal sets
             continue
         keys, _ = block_sketches(rare, at, 0)
-        out.append(keys)
+        out.append(keys[:need])
         if len(keys) < need:
             keys, own = block_sketches(grams, at, 1)
-            out.append(keys)
+            out.append(keys[:need])
             if len(keys) < need:
                 out.append(empty_keys(own, at))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
