@@ -1,11 +1,11 @@
 """Mix sources to target weights.
 
 The words of each source are laid end to end and cut into blocks of ``block`` words (the last may
-be shorter). A source whose target is t words gets t/size x blocks slots; each of its slots is
-thrown into an output shard by a hash, so the counts of a source over the shards are a multinomial
-draw and its total stays at the target. Slots are walked in rounds over the blocks, each round in
-an order of its own: a swap-or-not permutation of the block numbers. Slots and blocks are then
-joined by block number. All columns are native expressions; equal input gives equal output.
+be shorter). A source gets as many slots as blocks make up its target, the last one cut to the words
+still due; each of its slots is thrown into an output shard by a hash, so the counts of a source over the
+shards are a multinomial draw and its total stays at the target. Slots are walked in rounds over the
+blocks, each round in an order of its own: a swap-or-not permutation of the block numbers. Slots
+and blocks are then joined by block number. All columns are native expressions; equal input gives equal output.
 
 Order within a source: chunks by hash of the id, ids inside a chunk, so that the running word
 offsets of a source with any share of the rows are computed chunk by chunk. The list of sources
@@ -56,10 +56,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     )
 
 
-def permuted(at: Column, size: Column, *keys: Column) -> Column:
+def permuted(at: Column, size: Column, *keys: Column, back: bool = False) -> Column:
     """``at`` in [0, size) sent through a pseudorandom permutation chosen by ``keys``.
 
     Swap-or-not: each round pairs x with K - x (mod size) and swaps the pair or not by one hash bit.
+    Every round undoes itself, so the rounds in reverse order lead ``back``.
     """
 
     def swapped(x: Column, n: Column) -> Column:
@@ -67,16 +68,15 @@ def permuted(at: Column, size: Column, *keys: Column) -> Column:
         bit = F.xxhash64(F.lit(-1) - n, F.greatest(x, other), *keys).bitwiseAND(F.lit(1))
         return F.when(bit == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), at, swapped)
+    rounds = (ROUNDS, 1) if back else (1, ROUNDS)
+    return F.aggregate(F.sequence(*map(F.lit, rounds)), at, swapped)
 
 
 def laid_out(words: DataFrame) -> DataFrame:
     """(id, source, size) with ``sid``, ``source_size``, ``target`` and ``start``, the row's word
     offset within its source."""
     chunks = words.count() // CHUNK_ROWS + 1
-    words = words.withColumn(
-        "chunk", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(chunks)), F.lit(0))
-    )
+    words = words.withColumn("chunk", F.pmod(F.xxhash64("id", "mark"), F.lit(chunks)))
     sources = targets(words.groupBy("source").agg(F.sum("size").alias("source_size")))
     in_source = Window.partitionBy("source").orderBy("chunk")
     chunk_starts = (
@@ -102,22 +102,35 @@ def laid_out(words: DataFrame) -> DataFrame:
 
 
 def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """One row per slot: (sid, block_no, round, slot, shard)."""
+    """One row per slot: (sid, block_no, round, slot, shard, due), ``due`` being the words it takes."""
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("source_size") / block)
-    per = sources.filter(F.col("source_size") > 0).select(
-        "sid", blocks.alias("blocks"),
-        F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("slots"),
-    ).filter(F.col("slots") > 0)
+    size, blocks = F.col("source_size"), F.ceil(F.col("source_size") / block)
+    per = sources.filter("source_size > 0").select(
+        "sid", blocks.alias("blocks"), (size - (blocks - 1) * block).alias("short"),
+        F.floor(F.round("target") / size).alias("full"),
+    ).join(sources.select("sid", F.round("target").cast("long").alias("words"), "source_size"), "sid").select(
+        "*", (F.col("words") - F.col("full") * F.col("source_size")).alias("rest"),
+        # where the round that is not walked to its end comes to the shorter last block
+        permuted(
+            F.col("blocks") - 1, F.col("blocks"), F.lit(seed), F.col("sid"), F.col("full"), back=True
+        ).alias("turn"),
+    )
+    lack = F.lit(block) - F.col("short")
+    plain = F.ceil(F.col("rest") / block)
+    walked = F.when(plain <= F.col("turn"), plain).otherwise(F.ceil((F.col("rest") + lack) / block))
+    per = per.withColumn("slots", F.col("full") * F.col("blocks") + walked).filter("slots > 0")
     pieces = per.select(
         "*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / PIECE))).alias("piece")
     ).repartition(parts, "sid", "piece")
     last = F.least(F.col("slots") - 1, F.col("piece") * PIECE + PIECE - 1)
+    at = F.col("slot") - F.col("full") * F.col("blocks")
+    before = at * block - F.when(at > F.col("turn"), lack).otherwise(F.lit(0))
+    due = F.when(at >= 0, F.least(F.lit(block), F.col("rest") - before)).otherwise(F.lit(block))
     slots = pieces.select(
-        "sid", "blocks", F.explode(F.sequence(F.col("piece") * PIECE, last)).alias("slot")
+        "*", F.explode(F.sequence(F.col("piece") * PIECE, last)).alias("slot")
     ).withColumn("round", F.floor(F.col("slot") / F.col("blocks")))
     return slots.select(
-        "sid", "slot", "round",
+        "sid", "slot", "round", due.alias("due"),
         F.pmod(F.xxhash64(F.lit(seed), "sid", "slot"), F.lit(shards)).cast("int").alias("shard"),
         permuted(
             F.pmod("slot", "blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("round")
@@ -125,20 +138,24 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
     )
 
 
+def text_mark(text: Column) -> Column:
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+
+
 def mix(
     docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source",
     block: int = 64, shards: int = 16, seed: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """The rows laid out (see :func:`laid_out`), and the mix: one row per slot and row it takes
-    words from, (shard, slot, round, sid, id, mark, start, size, first, last) with word numbers
-    [first, last) of that row.
+    words from, (shard, slot, round, sid, source, id, mark, start, size, first, last) with word
+    numbers [first, last) of that row.
 
-    ``mark`` is the crc32 of the text: with the id it names a row.
+    ``mark`` is a 128-bit hash of the text: with the source and the id it names a row.
     """
     words = store(
         docs.select(
             F.col(key).alias("id"), F.col(source).alias("source"),
-            F.crc32(F.col(text).cast("binary")).alias("mark"), n_words(F.col(text)).alias("size"),
+            text_mark(F.col(text)).alias("mark"), n_words(F.col(text)).alias("size"),
         ),
         "mix-words",
     )
@@ -150,14 +167,18 @@ def mix(
     from_word = F.greatest(F.lit(0), F.col("block_no") * block - F.col("start"))
     to_word = F.least(F.col("size"), (F.col("block_no") + 1) * block - F.col("start"))
     parts = rows.filter(F.col("size") > 0).select(
-        "sid", "id", "mark", "start", "size",
+        "sid", "source", "id", "mark", "start", "size",
         F.explode(
             F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
         ).alias("block_no"),
     ).withColumns({"first": from_word, "last": to_word})
     # never broadcast: a few rows per source become a slot per block
     slots = slots_of(sources, block, shards, seed).hint("merge")
-    return rows, parts.join(slots, ["sid", "block_no"]).drop("block_no")
+    in_block = F.col("start") + F.col("first") - F.col("block_no") * block
+    taken = parts.join(slots, ["sid", "block_no"]).withColumn(
+        "last", F.least(F.col("last"), F.col("first") + F.col("due") - in_block)
+    ).filter(F.col("last") > F.col("first"))
+    return rows, taken.drop("block_no", "due")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
@@ -166,26 +187,28 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     taken words, in order, joined by one space. Columns are those of ``docs``.
     """
     k, m, spans, r, w = fresh(docs, "_k", "_m", "_spans", "_round", "_words")
+    source = options.get("source", "source")
     _, taken = mix(docs, text, key, **options)
-    per_round = taken.groupBy("id", "mark", "start", "size", "round").agg(
+    per_round = taken.groupBy("source", "id", "mark", "start", "size", "round").agg(
         F.sum(F.col("last") - F.col("first")).alias("n"),
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias(spans),
     )
-    # rows that agree in id and text are interchangeable: number them on both sides
-    number = Window.partitionBy("id", "mark").orderBy("start")
-    twin = F.dense_rank().over(number)
+    # rows that agree in source, id and text are interchangeable: number them on both sides
+    twin = F.dense_rank().over(Window.partitionBy("source", "id", "mark").orderBy("start"))
     per_round = per_round.withColumn("twin", twin)
-    own = docs.withColumn(m, F.crc32(F.col(text).cast("binary"))).withColumn(
-        r, F.row_number().over(Window.partitionBy(key, m).orderBy(F.lit(1)))
+    others = [c for c, kind in docs.dtypes if c != text and "map<" not in kind and kind != "variant"]
+    own = docs.withColumn(m, text_mark(F.col(text)))
+    own = own.withColumn(
+        r, F.row_number().over(Window.partitionBy(key, source, m).orderBy(F.xxhash64(*others)))
     )
     # the numbers are compared, not equated: then the rows stay where the numbering put them
     joined = own.join(
         per_round.select(
-            F.col("id").alias(k), F.col("mark").alias(f"{m}_r"), F.col("twin").alias(f"{r}_r"),
-            spans, (F.col("n") == F.col("size")).alias(f"{spans}_all"),
+            F.col("id").alias(k), F.col("source").alias(f"{k}_s"), F.col("mark").alias(f"{m}_r"),
+            F.col("twin").alias(f"{r}_r"), spans, (F.col("n") == F.col("size")).alias(f"{spans}_all"),
         ),
-        same(F.col(key), F.col(k)) & same(F.col(m), F.col(f"{m}_r"))
-        & (F.abs(F.col(r) - F.col(f"{r}_r")) < 1),
+        same(F.col(key), F.col(k)) & same(F.col(source), F.col(f"{k}_s"))
+        & (F.col(m) == F.col(f"{m}_r")) & (F.abs(F.col(r) - F.col(f"{r}_r")) < 1),
     )
     # a column of its own: inside a lambda the split would run once per span
     whole = F.col(f"{spans}_all")
@@ -207,18 +230,23 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     return joined.select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns])
 
 
-def per_document(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """``rows`` with ``taken``: the words the mix takes of each, repeats counted."""
-    sums = taken.groupBy("sid", "start").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+def per_document(rows: DataFrame, taken: DataFrame, shards: int = 16) -> DataFrame:
+    """``rows`` with ``taken``: the words the mix takes of each, repeats counted, and
+    ``shard_words``: the same by output shard."""
+    n = F.col("last") - F.col("first")
+    by_shard = F.array(*[F.sum(F.when(F.col("shard") == k, n).otherwise(F.lit(0))) for k in range(shards)])
+    sums = taken.groupBy("sid", "start").agg(F.sum(n).alias("taken"), by_shard.alias("shard_words"))
     hit = (F.col("size") > 0) & (F.col("taken").isNotNull())
-    return rows.join(sums, ["sid", "start"], "left").withColumn(
-        "taken", F.when(hit, F.col("taken")).otherwise(F.lit(0))
-    )
+    nothing = F.array_repeat(F.lit(0).cast("long"), shards)
+    return rows.join(sums, ["sid", "start"], "left").withColumns({
+        "taken": F.when(hit, F.col("taken")).otherwise(F.lit(0)),
+        "shard_words": F.when(hit, F.col("shard_words")).otherwise(nothing),
+    })
 
 
 @query("op7_mixing", "documents")
 def op7(documents: DataFrame) -> DataFrame:
     rows, taken = mix(documents)
     return per_document(rows, taken).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shard_words"
     )

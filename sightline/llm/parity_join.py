@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.components import components
 from sightline.llm.registry import query
@@ -117,7 +117,7 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, member, check, bits) per row: the set's size, two hashes and bit sketch."""
+    """(id, mark, n, member, check, bits) per row: the set's size, two hashes and bit sketch."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values in texts(batches):
@@ -125,14 +125,17 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
             hashes = [set_hashes(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column("id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()),
                     pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["id", "n", "member", "check", "bits"],
+                ["id", "mark", "n", "member", "check", "bits"],
             )
 
-    return docs.mapInArrow(describe, "id long, n long, member long, check long, bits binary")
+    mark = docs.schema["mark"].dataType.simpleString()
+    return docs.mapInArrow(
+        describe, f"id long, mark {mark}, n long, member long, check long, bits binary"
+    )
 
 
 def common_shingles(docs: DataFrame, total: int, size: int) -> np.ndarray:
@@ -437,16 +440,21 @@ def open_pairs(groups: DataFrame, sets: DataFrame, roots: DataFrame, tile: int =
 
 
 def jaccard_components(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = 80
+    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = 80,
+    mark: Column | None = None,
 ) -> DataFrame:
-    """(id, n_shingles, component_id) per row: components of the links at ``percent`` or more.
+    """(id, mark, n_shingles, component_id, class) per row: components of the links at ``percent``
+    or more.
 
-    The band and block sizes are those of 80 percent; a higher ``percent`` only filters more.
+    ``mark`` is carried through, to tell rows apart that share an id; ``class`` tells components
+    apart that share their smallest id (null for rows that link with nothing by rule). The band and block sizes are those of 80 percent; a higher ``percent`` only filters more.
     """
     if percent < 80:
         raise ValueError("the sketches are sized for 80 percent and more")
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    described = store(set_table(docs, size), "sets")
+    mark = F.lit(None).cast("int") if mark is None else mark
+    marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), mark.alias("mark"))
+    docs = marked.drop("mark")
+    described = store(set_table(marked, size), "sets")
     total = described.count()
     known = described.filter(F.col("id").isNotNull() & F.col("member").isNotNull())
     common = common_shingles(docs, total, size)
@@ -470,9 +478,13 @@ def jaccard_components(
         roots.withColumnRenamed("node", "member"), "member", "left"
     ).withColumn("root", F.coalesce("root", "member"))
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_member = nodes.join(names, "root").groupBy("member").agg(F.min("component_id").alias("component_id"))
+    by_member = nodes.join(names, "root").groupBy("member").agg(
+        F.min(F.struct("component_id", "root")).alias("found")
+    )
     return described.join(by_member, "member", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id", "mark", F.col("n").alias("n_shingles"),
+        F.coalesce("found.component_id", "id").alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.col("found.root")).alias("class"),
     )
 
 
@@ -495,4 +507,4 @@ def jaccard_components(
     FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n
 """)
 def op6(documents: DataFrame) -> DataFrame:
-    return jaccard_components(documents).withColumnRenamed("id", "doc_id")
+    return jaccard_components(documents).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -68,6 +68,12 @@ def test_odd_documents_joined(spark, tmp_path):
     assert against_sql(spark, tmp_path, "op6_parity_join") is None
 
 
+def test_odd_documents_joined_with_repeats(spark, tmp_path):
+    odd_documents(spark, tmp_path, words=400)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op6_parity_join"](spark, str(tmp_path)).collect()}
+    assert {(300, 1, 300), (None, 1, None), (200, 57, 200), (204, 57, 200), (1, 0, 1), (10, 1, 10), (11, 1, 10)} <= got
+
+
 def test_odd_vectors_searched(spark, tmp_path):
     odd_vectors(spark, tmp_path)
     assert against_sql(spark, tmp_path, "op10_maxscore") is None
@@ -107,5 +113,16 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     assert packed.count() >= mixed.count() > 0
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    words = " ".join(f"w{n}" for n in range(100))
+    rows = [(3, words), (7, words + " more"), (7, "a wholly different clean text about other things"),
+            (2, words + " x"), (2, words + " y"), (None, words), (None, words + " z"), (9, words), (9, words)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text[:9], len(r.text) - len(words)) for r in kept) == [
+        (0, "w0 w1 w2 ", 0), (0, "w0 w1 w2 ", 2), (2, "w0 w1 w2 ", 2), (7, "a wholly ", 48 - len(words))
+    ]
+
+
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
