@@ -4,6 +4,10 @@ Language ID drops documents without a letter or without a language above ``LEAST
 takes out lines found in ten documents and more; the Jaccard join leaves the smallest id of each group
 of near duplicates; mixing takes each source's words up to its target, a document once per round; packing
 cuts what is left into sequences. ``n_chars`` follows the text.
+
+Defined results: null and empty texts are rejected by the first stage; rows with a null id are documents of
+their own, which are near duplicates of none; of rows that agree in id and text one stays; other columns
+pass through, but for ``n_chars``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm.common import fresh, same
+from sightline.llm.common import fresh
 from sightline.llm.langid import UND, predict, train
 from sightline.llm.line_dedup import drop_frequent_lines
 from sightline.llm.mixing import mixed_documents
@@ -46,17 +50,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    (gone_id, mark) = fresh(docs, "_gone", "_mark")
-    groups = jaccard_components(docs)
-    gone = store(
-        groups.filter("id <> component_id").select(F.col("id").alias(gone_id)).distinct(), "copies"
+    """Of each group of near duplicates the row with the smallest id stays (of several rows with that
+    id, the one with the smallest text hash). Rows are told apart by id and text hash, so a text under an
+    id that a copy carries, too, is judged for itself."""
+    gone_id, mark, gone_mark = fresh(docs, "_gone", "_mark", "_gone_mark")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    # rows that agree in id and text are copies of one document
+    rows = store(docs.withColumn(mark, digest).dropDuplicates(["doc_id", mark]), "distinct-rows")
+    groups = store(
+        jaccard_components(rows, mark=F.col(mark)).filter(F.col("class").isNotNull())
+        .select("class", F.struct("id", "mark").alias("row")), "groups",
     )
-    # rows that agree in id and text are copies of one document too
-    return (
-        docs.join(gone, same(F.col("doc_id"), F.col(gone_id)), "left_anti")
-        .withColumn(mark, F.crc32(F.col("text").cast("binary"))).dropDuplicates(["doc_id", mark])
-        .select(docs.columns)
+    kept = groups.groupBy("class").agg(F.min("row").alias("stays"), F.count("*").alias("n")).filter("n > 1")
+    gone = groups.join(kept, "class").filter("row <> stays").select(
+        F.col("row.id").alias(gone_id), F.col("row.mark").alias(gone_mark)
     )
+    return rows.join(
+        store(gone, "copies"), (F.col("doc_id") == F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti"
+    ).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
