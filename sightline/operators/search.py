@@ -16,6 +16,7 @@ from sightline.functions.text import (
     trigram_similarity,
     trigrams,
 )
+from sightline.operators.postings import PostingTable
 from sightline.vocab import (
     DEFAULT_PAGE_SIZE,
     MAX_PAGE_SIZE,
@@ -40,17 +41,26 @@ def matches(name: Column, term: str) -> Column:
     return F.coalesce(contains_ignore_case(name, term) | similar, F.lit(False))
 
 
-def matching(items: DataFrame, term: str | None, name: str = "name") -> DataFrame:
-    """All items an (optional) search term selects."""
+def matching(
+    items: DataFrame, term: str | None, name: str = "name", *, key: str = "infohash",
+    index: PostingTable | None = None,
+) -> DataFrame:
+    """All items an (optional) search term selects; with an ``index`` of them names are not scanned."""
     term = (term or "").strip()
-    return items.filter(matches(F.col(name), term)) if term else items
+    if not term:
+        return items
+    if index is not None:
+        found = index.matching(term).withColumnRenamed("id", "_found")
+        return items.join(found, F.col(key) == F.col("_found"), "left_semi")
+    return items.filter(matches(F.col(name), term))
 
 
 def search(
     items: DataFrame, term: str | None = None, sort: str | None = None, order: str = "desc",
     page: int = 1, limit: int = DEFAULT_PAGE_SIZE, *, key: str = "infohash", after: tuple | None = None,
+    index: PostingTable | None = None,
 ) -> DataFrame:
-    """One page of the item list.
+    """One page of the item list; with an ``index`` a term is looked up instead of scanned for.
 
     ``sort`` is one of verified_at, size, files, name; without it a search is ordered by
     similarity and the plain list by verified_at. NULLs come last ascending, first descending.
@@ -59,7 +69,7 @@ def search(
     """
     page, limit = page_bounds(page, limit)
     term = (term or "").strip()
-    found = matching(items, term)
+    found = matching(items, term, key=key, index=index)
     if sort in SORT_COLUMNS:
         by, ascending = F.col(SORT_COLUMNS[sort]), order == "asc"
     elif term:
@@ -93,10 +103,13 @@ def list_columns(items: DataFrame, key: str = "infohash") -> DataFrame:
     )
 
 
-def search_total(items: DataFrame, term: str | None = None, limit: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+def search_total(
+    items: DataFrame, term: str | None = None, limit: int = DEFAULT_PAGE_SIZE, *, key: str = "infohash",
+    index: PostingTable | None = None,
+) -> DataFrame:
     """Number of matches and of pages (at least 1)."""
     _, limit = page_bounds(1, limit)
-    return matching(items, term).agg(F.count(F.lit(1)).alias("total")).withColumn(
+    return matching(items, term, key=key, index=index).agg(F.count(F.lit(1)).alias("total")).withColumn(
         "pages", F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("bigint")
     )
 

@@ -1,11 +1,15 @@
 """Queries on search, lists, details, file trees and text forms of items."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sightline.functions import files as file_exprs
 from sightline.functions import text
 from sightline.operators import files, search, sightings
+from sightline.operators.postings import write_postings
 from sightline.plans.registry import query
+from sightline.session import work_path
 from sightline.sources.sinks import sample_export
 
 TERM = "red widg"
@@ -83,6 +87,43 @@ def _(t):
     )
 
 
+def part_postings(t):
+    return write_postings(items(t), work_path(t.spark, "part-postings"), "p_partkey")
+
+
+@query("search_stored_index", ITEMS_SQL + f"""
+SELECT {', '.join(COLUMNS)} FROM m ORDER BY similarity DESC, p_partkey LIMIT 100""")
+def _(t):
+    return search.search(items(t), TERM, limit=100, key="p_partkey", index=part_postings(t))
+
+
+# terms of one character up to whole words, with a repeated window and with wildcards
+TERMS = ["e", "re", "red widg", "ed", "widget", "RED", "d w", "%_", "nowhere", "b widget"]
+TERMS_SQL = f"""
+SELECT term, count(DISTINCT p_partkey) AS n, coalesce(sum(p_partkey), 0)::BIGINT AS keys
+FROM (SELECT unnest({TERMS}) AS term) LEFT JOIN part ON contains(lower(p_name), lower(term)) GROUP BY term"""
+
+
+@query("contains_stored_index", TERMS_SQL)
+def _(t):
+    index = part_postings(t)
+    found = [index.containing(term).select(F.lit(term).alias("term"), "id") for term in TERMS]
+    asked = t.spark.createDataFrame([(term,) for term in TERMS], "term string")
+    return (
+        asked.join(reduce(lambda a, b: a.union(b), found), "term", "left").groupBy("term")
+        .agg(F.count("id").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("keys"))
+    )
+
+
+PHRASE = "the and attion"
+
+
+@query("phrase_in_documents", f"SELECT doc_id FROM documents WHERE contains(lower(text), '{PHRASE}')")
+def _(t):
+    index = write_postings(t.documents, work_path(t.spark, "text-postings"), "doc_id", "text")
+    return index.containing(PHRASE).withColumnRenamed("id", "doc_id")
+
+
 @query("search_total", ITEMS_SQL + """
 SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::BIGINT AS pages FROM m""")
 def _(t):
