@@ -16,6 +16,7 @@ positions; a shorter term reads the windows that start with it.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,22 @@ WINDOW, WORD = 0, 1
 BLOCKS_PER_SHARD = 256
 
 
-def _windows(name: Column) -> Column:
-    """(piece, number) of every character of a lower-cased name, positions from 0."""
-    low = F.lower(name)
-    return F.transform(
-        F.when(F.length(low) > 0, F.sequence(F.lit(0), F.length(low) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda at: F.struct(F.substring(low, at + 1, F.lit(3)).alias("piece"), at.alias("number")),
-    )
+def _windows(named: DataFrame) -> DataFrame:
+    """(id, piece, number) of every character of the lower-cased names, positions from 0."""
+    # a column of its own: inside a lambda the characters would be found once per position
+    cut = named.select("id", F.regexp_extract_all(F.lower("name"), F.lit("(?s)."), 0).alias("c"))
+
+    def window(char: Column, at: Column) -> Column:
+        rest = [F.coalesce(F.get("c", at + k), F.lit("")) for k in (1, 2)]
+        return F.struct(F.concat(char, *rest).alias("piece"), at.alias("number"))
+
+    return cut.select("id", F.explode(F.transform("c", window)).alias("p")).select("id", "p.piece", "p.number")
 
 
-def _words(name: Column) -> Column:
-    found = trigrams(name)
-    return F.transform(found, lambda p: F.struct(p.alias("piece"), F.size(found).alias("number")))
+def _words(named: DataFrame) -> DataFrame:
+    """(id, piece, number) of every word piece; the number is how many the name has."""
+    cut = named.select("id", trigrams(F.col("name")).alias("c"))
+    return cut.select("id", F.explode("c").alias("piece"), F.size("c").alias("number"))
 
 
 def _bucket(kind: Column, piece: Column, buckets: int) -> Column:
@@ -48,17 +53,17 @@ def _bucket(kind: Column, piece: Column, buckets: int) -> Column:
 
 def write_postings(
     items: DataFrame, path: str, key: str, name: str = "name", *, buckets: int = 64, block_rows: int = 4096,
+    words: bool = True,
 ) -> PostingTable:
-    """Build the table below ``path`` from all rows with a name."""
+    """Build the table below ``path`` from all rows with a name; without ``words`` for containment only."""
     named = items.filter(F.col(name).isNotNull()).select(F.col(key).alias("id"), F.col(name).alias("name"))
     blocks = named.count() // block_rows + 1
-    parts = [
-        named.select("id", F.lit(kind).alias("kind"), F.explode(of(F.col("name"))).alias("p"))
-        for kind, of in ((WINDOW, _windows), (WORD, _words))
-    ]
-    entries = parts[0].unionByName(parts[1]).select(
-        _bucket(F.col("kind"), F.col("p.piece"), buckets).alias("bucket"),
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "kind", "p.piece", "id", "p.number",
+    parts = [_windows(named).withColumn("kind", F.lit(WINDOW))]
+    if words:
+        parts.append(_words(named).withColumn("kind", F.lit(WORD)))
+    entries = reduce(DataFrame.unionByName, parts).select(
+        _bucket(F.col("kind"), F.col("piece"), buckets).alias("bucket"),
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "kind", "piece", "id", "number",
     ).withColumn("shard", F.floor(F.col("block") / BLOCKS_PER_SHARD))
     # one shuffle: what is dealt out by bucket and shard is also together by piece and block
     dealt = entries.repartition("bucket", "shard")
@@ -72,7 +77,7 @@ def write_postings(
         f"{path}/postings"
     )
     spark = items.sparkSession
-    facts = {"key": items.schema[key].dataType.simpleString(), "buckets": buckets, "blocks": blocks}
+    facts = {"words": words, "key": items.schema[key].dataType.simpleString(), "buckets": buckets, "blocks": blocks}
     spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
     return PostingTable(spark, path)
 
@@ -84,6 +89,7 @@ class PostingTable:
         self.spark, self.path = spark, path
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
         self.key, self.buckets, self.blocks = facts["key"], facts["buckets"], facts["blocks"]
+        self.words = facts["words"]
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(
@@ -130,6 +136,8 @@ class PostingTable:
 
     def similar(self, term: str, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
         """(id, similarity) of the names whose trigram similarity reaches the threshold."""
+        if not self.words:
+            raise ValueError("the table was written without word pieces")
         pieces = term_trigrams(term)
         if not pieces:
             return self.rows().select(F.explode("ids").alias("id"), F.lit(0.0).alias("similarity")).limit(0)

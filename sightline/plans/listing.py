@@ -120,7 +120,8 @@ PHRASE = "the and attion"
 
 @query("phrase_in_documents", f"SELECT doc_id FROM documents WHERE contains(lower(text), '{PHRASE}')")
 def _(t):
-    index = write_postings(t.documents, work_path(t.spark, "text-postings"), "doc_id", "text")
+    path = work_path(t.spark, "text-postings")
+    index = write_postings(t.documents, path, "doc_id", "text", words=False)
     return index.containing(PHRASE).withColumnRenamed("id", "doc_id")
 
 
