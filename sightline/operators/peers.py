@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.ids import ipv4_text, is_public_ipv4, port_number
 from sightline.functions.timing import micros, seconds_between
+from sightline.operators.requests import walk_batches
 from sightline.operators.scans import DEFAULT_SLICE_SECONDS, sliced_scan
 
 PEER_BYTES = 6
@@ -88,29 +91,36 @@ def match_replies(
     requests: DataFrame, replies: DataFrame, key: str, ts: str, timeout_seconds: float, *,
     tie: str, slice_seconds: int = DEFAULT_SLICE_SECONDS,
 ) -> DataFrame:
-    """Outcome of each request: ``answered`` with the reply time, or ``timeout``.
+    """Outcome of each request, by the rule of :mod:`sightline.operators.requests`: ``answered`` with
+    the reply time, ``timeout``, or ``refused`` while another request of its id is open.
 
-    A reply answers the request right before it on the same transaction id, if it comes within
-    the timeout; later replies find nothing open. Found by looking one row ahead in time, so no
-    pairs of requests and replies are formed.
+    Nothing is open after a reply, nor after a pause longer than the timeout. At such places the log
+    of an id falls apart into stretches, which are walked independently of each other: an id with a
+    large share of the rows spreads over all tasks, and a task holds one open request.
     """
-    log = (
-        requests.select(key, ts, tie, F.lit(1).alias("_request"))
-        .unionByName(replies.select(key, ts, tie, F.lit(0).alias("_request")))
-        # looking ahead is looking back over reversed time
-        .withColumn("_back_ts", F.timestamp_micros(-micros(F.col(ts))))
-        .withColumn("_back_tie", -F.col(tie))
+    timeout_us = int(timeout_seconds * 1_000_000)
+    log = requests.select(key, ts, tie, F.lit(True).alias("_asks")).unionByName(
+        replies.select(key, ts, tie, F.lit(False).alias("_asks"))
     )
-    scanned = sliced_scan(
-        log, [key], ["_back_ts", "_back_tie"], slice_seconds=slice_seconds,
-        lasts={"_next": F.struct(F.col(ts).alias("ts"), F.col("_request").alias("request"))},
+    order = [ts, tie]
+    seen = sliced_scan(
+        log, [key], order, slice_seconds=slice_seconds,
+        lasts={"_prev": F.struct(F.col(ts).alias("ts"), F.col("_asks").alias("asks"))},
+    )
+    fresh = F.col("_prev").isNull() | ~F.col("_prev.asks") | (
+        micros(F.col(ts)) - micros(F.col("_prev.ts")) > timeout_us
     )
-    wait = seconds_between(F.col(ts), F.col("_next.ts"))
-    answered = F.coalesce(
-        (F.col("_next.request") == 0) & (wait <= timeout_seconds), F.lit(False)
+    stretches = sliced_scan(
+        seen.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int")).drop("_prev"), [key], order,
+        slice_seconds=slice_seconds, sums={"_stretch": F.col("_fresh")},
+    ).select(key, "_stretch", micros(F.col(ts)).alias("_us"), tie, "_asks")
+    kinds = [requests.schema[c].dataType.simpleString() for c in (key, tie)]
+    found = stretches.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "_us", tie).mapInArrow(
+        partial(walk_batches, timeout_us=timeout_us),
+        f"key {kinds[0]}, sent bigint, tie {kinds[1]}, outcome string, reply bigint",
     )
-    return scanned.filter(F.col("_request") == 1).select(
-        key, ts, tie,
-        F.when(answered, F.lit("answered")).otherwise(F.lit("timeout")).alias("outcome"),
-        F.when(answered, F.col("_next.ts")).alias("reply_ts"),
+    time = requests.schema[ts].dataType
+    at = lambda c: F.timestamp_micros(c).cast(time)
+    return found.select(
+        F.col("key").alias(key), at("sent").alias(ts), F.col("tie").alias(tie), "outcome", at("reply").alias("reply_ts")
     )

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from sightline.operators.sightings import latest_rows
 from sightline.plans.collection import SIGHTINGS_SQL, sources_text
 from sightline.plans.registry import query
-from sightline.plans.verification import EXPONENTIAL, outcomes
+from sightline.plans.verification import EXPONENTIAL, REPLIES_SQL, outcomes
 from sightline.session import work_path
 from sightline.streaming import events as ops
 from sightline.streaming import tables
-from sightline.streaming.sources import read_files
+from sightline.streaming.sources import Closing, read_files
 
 
 def event_stream(t):
@@ -36,6 +36,35 @@ def finished(t, stream, label):
     return t.spark.read.schema(stream.schema).parquet(path)
 
 
+def finished_whole(spark, read, rows, make, label, seconds):
+    """Run ``make(stream)`` to its end, tail included: a closing row ``seconds`` behind the last of
+    ``rows`` follows in a second run of the same query. ``read()`` opens the stream of ``rows``."""
+    path = work_path(spark, label)
+    closing = Closing(spark, f"{path}-closing", rows.schema, "ts")
+    for last in (False, True):
+        if last:
+            closing.close(rows, seconds)
+        made = make(closing.follow(read()))
+        (
+            made.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{path}-state").option("path", path)
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def whole_events(t, make, label, seconds):
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return finished_whole(t.spark, lambda: event_stream(t), rows, make, label, seconds)
+
+
+def reply_log(events):
+    """Views as requests, clicks as replies; the closing row, which has no type, is neither."""
+    kind = F.col("event_type")
+    asks = F.when(kind.isin("view", "click"), kind == "view").alias("asks")
+    return events.filter(kind.isNull() | kind.isin("view", "click")).select("event_id", "user_id", "ts", asks)
+
+
 def ntz(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -80,20 +109,22 @@ def _(t):
     return finished(t, ops.dedupe(stream, "user_id", "ts", "365 days").select("user_id"), "dedupe")
 
 
-@query("stream_minute_counts")
+@query("stream_minute_counts", """
+SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS ts, event_type AS metric_name, count(*) AS n
+FROM events GROUP BY 1, 2""")
 def _(t):
-    # the last windows stay open until later events close them
-    made = ops.counts(event_stream(t).select("event_type", "ts"), "event_type", "ts")
-    return ntz(finished(t, made, "counts"), "ts")
+    def make(events):
+        return ops.counts(events.select("event_type", "ts"), "event_type", "ts")
+
+    return ntz(whole_events(t, make, "counts", 3600), "ts")
 
 
-@query("stream_replies")
+@query("stream_replies", REPLIES_SQL)
 def _(t):
-    def of(kind):
-        return event_stream(t).filter(F.col("event_type") == kind).select("user_id", "ts")
+    def make(events):
+        return ops.correlate(reply_log(events), "user_id", "ts", "asks", "event_id", 6 * 3600, "1 hour")
 
-    made = ops.correlate(of("view"), of("click"), "user_id", "ts", "6 hours", "1 hour")
-    return ntz(finished(t, made, "replies"), "ts", "reply_ts")
+    return ntz(whole_events(t, make, "replies", 24 * 3600), "ts", "reply_ts")
 
 
 @query("stream_rate_limit")

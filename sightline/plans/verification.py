@@ -206,15 +206,26 @@ def _(t):
     return peers.suppress_bad(checks, bad, "user_id", "ts", 86400, tie="event_id")
 
 
-@query("request_response", """
-WITH e AS (SELECT event_id, user_id, ts, event_type,
-    lead(event_type) OVER w AS next_type, lead(ts) OVER w AS next_ts
-  FROM events WHERE event_type IN ('view', 'click')
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, user_id, ts,
-  CASE WHEN next_type = 'click' AND next_ts <= ts + INTERVAL 6 HOUR THEN 'answered' ELSE 'timeout' END AS outcome,
-  CASE WHEN next_type = 'click' AND next_ts <= ts + INTERVAL 6 HOUR THEN next_ts END AS reply_ts
-FROM e WHERE event_type = 'view'""")
+# the log of a user walked event by event; a view is a request, a click a reply
+REPLIES_SQL = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, event_type = 'view' AS asks,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE event_type IN ('view', 'click')),
+r AS (SELECT user_id, n, event_id, ts, asks, CASE WHEN asks THEN ts END AS open_ts, CASE WHEN asks THEN event_id END AS open_id,
+    false AS refused, NULL::BIGINT AS answers FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id, e.ts, e.asks,
+    CASE WHEN e.asks AND live THEN x.open_ts WHEN e.asks THEN e.ts END,
+    CASE WHEN e.asks AND live THEN x.open_id WHEN e.asks THEN e.event_id END,
+    e.asks AND live, CASE WHEN live AND NOT e.asks THEN x.open_id END
+  FROM r x JOIN e ON e.user_id = x.user_id AND e.n = x.n + 1,
+  LATERAL (SELECT coalesce(e.ts <= x.open_ts + INTERVAL 6 HOUR, false) AS live) l)
+SELECT q.event_id, q.user_id, q.ts, a.ts AS reply_ts,
+  CASE WHEN q.refused THEN 'refused' WHEN a.ts IS NULL THEN 'timeout' ELSE 'answered' END AS outcome
+FROM r q LEFT JOIN r a ON a.answers = q.event_id AND a.user_id = q.user_id WHERE q.asks"""
+
+
+@query("request_response", REPLIES_SQL)
 def _(t):
     def of(kind):
         return t.events.filter(F.col("event_type") == kind).select("event_id", "user_id", "ts")

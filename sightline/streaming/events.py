@@ -8,12 +8,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sightline.operators.requests import TIMEOUT, walk
 from sightline.operators.throttle import Bucket
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def dedupe(stream: DataFrame, key: str, ts: str, within: str = "10 minutes") -> DataFrame:
     """Let an id through once per stretch of event time; state is dropped with the watermark."""
@@ -30,26 +35,89 @@ def counts(stream: DataFrame, name: str, ts: str, width: str = "1 minute", late:
     )
 
 
+class _Correlation(StatefulProcessor):
+    """State of one transaction id: the open request, and the events that wait for the watermark.
+
+    Events may come late and out of order; they are walked once the watermark has passed them, so the
+    outcomes do not depend on how the input was cut into micro-batches.
+    """
+
+    def __init__(self, timeout_us: int, tie: T.DataType):
+        self.timeout_us, self.tie = timeout_us, tie
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        request = T.StructType().add("sent", "long").add("tie", self.tie)
+        self.open = handle.getValueState("open", request)
+        self.waiting = handle.getListState("waiting", T.StructType().add("us", "long").add("tie", self.tie).add("asks", "boolean"))
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r["us"], r["tie"], r["asks"]) for r in rows if r["asks"] is not None]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(new)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        ready = [e for e in events if e[0] <= passed]
+        later = events[len(ready):]
+        open_ = tuple(self.open.get()) if self.open.exists() else None
+        steps = walk(open_, ready, self.timeout_us)
+        while True:
+            try:
+                outcome, sent, tie, reply = next(steps)
+            except StopIteration as end:
+                open_ = end.value
+                break
+            yield Row(key=key[0], sent=sent, tie=tie, outcome=outcome, reply=reply)
+        if open_ is not None and open_[0] + self.timeout_us <= passed:
+            yield Row(key=key[0], sent=open_[0], tie=open_[1], outcome=TIMEOUT, reply=None)
+            open_ = None
+        if ready:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if later:
+            self._wake(later[0][0])
+        if open_ is None:
+            self.open.clear()
+        else:
+            self.open.update(open_)
+            self._wake(open_[0] + self.timeout_us)
+
+    def close(self) -> None:
+        pass
+
+
 def correlate(
-    requests: DataFrame, replies: DataFrame, key: str, ts: str, timeout: str = "8 seconds", late: str = "30 seconds",
+    log: DataFrame, key: str, ts: str, asks: str, tie: str, timeout_seconds: float, late: str = "30 seconds",
 ) -> DataFrame:
-    """Each request with its reply time, null when the timeout passed without one.
+    """Outcome of each request: answered, timeout, or refused while another of its id is open.
 
-    Transaction ids in flight are unique; a further reply to an answered request is dropped.
+    ``log`` holds requests and replies, told apart by the boolean column ``asks``; rows in which that is
+    null only move the watermark. The rule is that of :mod:`sightline.operators.requests`, the result that
+    of the batch operator. Needs the state store that has timers, which is set here for the session.
     """
-    asked = requests.select(F.col(key).alias("k"), F.col(ts).alias("sent")).withWatermark("sent", late)
-    came = replies.select(F.col(key).alias("rk"), F.col(ts).alias("reply_ts")).withWatermark("reply_ts", late)
-    joined = asked.join(
-        came,
-        F.expr(f"k = rk AND reply_ts >= sent AND reply_ts <= sent + INTERVAL {timeout}"),
-        "leftOuter",
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kinds = [log.schema[c].dataType for c in (key, tie)]
+    rows = log.withWatermark(ts, late).select(
+        F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"), F.col(asks).alias("asks")
+    )
+    made = rows.groupBy("key").transformWithState(
+        _Correlation(int(timeout_seconds * 1_000_000), kinds[1]),
+        T.StructType().add("key", kinds[0]).add("sent", "long").add("tie", kinds[1])
+        .add("outcome", "string").add("reply", "long"),
+        outputMode="Append", timeMode="EventTime",
     )
-    # one event time per stream: the reply's becomes a plain column
-    plain = joined.select("k", "sent", F.timestamp_micros(F.unix_micros("reply_ts")).alias("reply_ts"))
-    return plain.dropDuplicatesWithinWatermark(["k", "sent"]).select(
-        F.col("k").alias(key), F.col("sent").alias(ts),
-        F.when(F.col("reply_ts").isNull(), F.lit("timeout")).otherwise(F.lit("answered")).alias("outcome"),
-        "reply_ts",
+    return made.select(
+        F.col("key").alias(key), F.timestamp_micros("sent").alias(ts), F.col("tie").alias(tie), "outcome",
+        F.timestamp_micros("reply").alias("reply_ts"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sightline.operators import jobs, peers, throttle
 from sightline.operators.sightings import fold_sightings
 from sightline.plans.registry import Tables
-from sightline.plans.streams import finished
+from sightline.plans.streams import finished, finished_whole, reply_log
 from sightline.plans.verification import outcomes
 from sightline.streaming import events as ops
 from sightline.streaming import tables
@@ -99,22 +99,17 @@ def test_suppression(spark, cut, batch):
 
 
 def test_minute_counts(spark, cut, batch):
-    made = ops.counts(stream(spark, cut, batch).select("event_type", "ts"), "event_type", "ts")
-    t = type("T", (), {"spark": spark})
-    got = finished(t, made, "counts")
-    # windows the watermark has passed are final; the last few minutes are still open
-    last = batch.agg(F.max("ts")).first()[0]
-    closed = F.col("ts") < F.lit(last) - F.expr("INTERVAL 11 MINUTES")
-    expected = batch.groupBy(F.date_trunc("minute", "ts").alias("ts"), F.col("event_type").alias("metric_name")).agg(F.count(F.lit(1)).alias("n"))
-    same(got.filter(closed), expected.filter(closed))
+    make = lambda events: ops.counts(events.select("event_type", "ts"), "event_type", "ts")
+    got = finished_whole(spark, lambda: stream(spark, cut, batch), batch, make, "counts", 3600)
+    same(got, batch.groupBy(F.date_trunc("minute", "ts").alias("ts"), F.col("event_type").alias("metric_name")).agg(
+        F.count(F.lit(1)).alias("n")))
 
 
 def test_replies(spark, cut, batch):
-    of = lambda df, kind: df.filter(F.col("event_type") == kind).select("user_id", "ts")
-    made = ops.correlate(of(stream(spark, cut, batch), "view"), of(stream(spark, cut, batch), "click"), "user_id", "ts", "6 hours", "1 hour")
-    t = type("T", (), {"spark": spark})
-    got = finished(t, made, "replies").filter(F.col("outcome") == "answered")
-    views, clicks = of(batch, "view"), of(batch, "click").select(F.col("user_id").alias("u"), F.col("ts").alias("r"))
-    expected = views.join(clicks, (F.col("u") == F.col("user_id")) & (F.col("r") >= F.col("ts")) & (
-        F.col("r") <= F.col("ts") + F.expr("INTERVAL 6 HOURS"))).select("user_id", "ts").distinct()
-    same(got.select("user_id", "ts"), expected)
+    """Five files of events in time order, and the same events in one batch; every request has an outcome."""
+    make = lambda events: ops.correlate(reply_log(events), "user_id", "ts", "asks", "event_id", 6 * 3600, "1 hour")
+    got = finished_whole(spark, lambda: stream(spark, cut, batch), batch, make, "replies", 24 * 3600)
+    of = lambda kind: batch.filter(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    expected = peers.match_replies(of("view"), of("click"), "user_id", "ts", 6 * 3600, tie="event_id")
+    same(got, expected)
+    assert got.count() == of("view").count()
