@@ -76,7 +76,7 @@ def laid_out(words: DataFrame) -> DataFrame:
     """(id, source, size) with ``sid``, ``source_size``, ``target`` and ``start``, the row's word
     offset within its source."""
     chunks = words.count() // CHUNK_ROWS + 1
-    words = words.withColumn("chunk", F.pmod(F.xxhash64("id", "mark"), F.lit(chunks)))
+    words = words.withColumn("chunk", F.pmod(F.xxhash64("mark"), F.lit(chunks)))
     sources = targets(words.groupBy("source").agg(F.sum("size").alias("source_size")))
     in_source = Window.partitionBy("source").orderBy("chunk")
     chunk_starts = (
@@ -138,8 +138,11 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
     )
 
 
-def text_mark(text: Column) -> Column:
-    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+def row_mark(key: Column, source: Column, text: Column) -> Column:
+    """128 bits that name a row by its id, source and text; rows that agree in these are alike."""
+    parts = [F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0")) for c in (key, source)]
+    whole = F.concat_ws("\n", F.sha2(F.coalesce(text, F.lit("")), 256), *parts)
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
 
 
 def mix(
@@ -147,15 +150,15 @@ def mix(
     block: int = 64, shards: int = 16, seed: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """The rows laid out (see :func:`laid_out`), and the mix: one row per slot and row it takes
-    words from, (shard, slot, round, sid, source, id, mark, start, size, first, last) with word
-    numbers [first, last) of that row.
+    words from, (shard, slot, round, sid, start, first, last) with word numbers [first, last) of the
+    row that ``sid`` and ``start`` name (of those with words).
 
-    ``mark`` is a 128-bit hash of the text: with the source and the id it names a row.
+    ``mark`` in the rows names them by id, source and text (:func:`row_mark`).
     """
     words = store(
         docs.select(
             F.col(key).alias("id"), F.col(source).alias("source"),
-            text_mark(F.col(text)).alias("mark"), n_words(F.col(text)).alias("size"),
+            row_mark(F.col(key), F.col(source), F.col(text)).alias("mark"), n_words(F.col(text)).alias("size"),
         ),
         "mix-words",
     )
@@ -167,7 +170,7 @@ def mix(
     from_word = F.greatest(F.lit(0), F.col("block_no") * block - F.col("start"))
     to_word = F.least(F.col("size"), (F.col("block_no") + 1) * block - F.col("start"))
     parts = rows.filter(F.col("size") > 0).select(
-        "sid", "source", "id", "mark", "start", "size",
+        "sid", "start", "size",
         F.explode(
             F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
         ).alias("block_no"),
@@ -178,7 +181,7 @@ def mix(
     taken = parts.join(slots, ["sid", "block_no"]).withColumn(
         "last", F.least(F.col("last"), F.col("first") + F.col("due") - in_block)
     ).filter(F.col("last") > F.col("first"))
-    return rows, taken.drop("block_no", "due")
+    return rows, taken.drop("block_no", "due", "size")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
@@ -186,29 +189,27 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     taken. A round that takes all words keeps the text as it is; otherwise the text becomes the
     taken words, in order, joined by one space. Columns are those of ``docs``.
     """
-    k, m, spans, r, w = fresh(docs, "_k", "_m", "_spans", "_round", "_words")
+    m, spans, r, w = fresh(docs, "_m", "_spans", "_round", "_words")
     source = options.get("source", "source")
-    _, taken = mix(docs, text, key, **options)
-    per_round = taken.groupBy("source", "id", "mark", "start", "size", "round").agg(
+    rows, taken = mix(docs, text, key, **options)
+    per_round = taken.groupBy("sid", "start", "round").agg(
         F.sum(F.col("last") - F.col("first")).alias("n"),
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias(spans),
     )
-    # rows that agree in source, id and text are interchangeable: number them on both sides
-    twin = F.dense_rank().over(Window.partitionBy("source", "id", "mark").orderBy("start"))
-    per_round = per_round.withColumn("twin", twin)
-    others = [c for c, kind in docs.dtypes if c != text and "map<" not in kind and kind != "variant"]
-    own = docs.withColumn(m, text_mark(F.col(text)))
-    own = own.withColumn(
-        r, F.row_number().over(Window.partitionBy(key, source, m).orderBy(F.xxhash64(*others)))
+    # rows of one mark are interchangeable: number them on both sides
+    twin = F.row_number().over(Window.partitionBy("mark").orderBy("start"))
+    named = rows.filter(F.col("size") > 0).select(
+        "sid", "start", "size", F.col("mark").alias(f"{m}_r"), twin.alias(f"{r}_r")
+    )
+    taken_of = per_round.join(named, ["sid", "start"]).select(
+        f"{m}_r", f"{r}_r", spans, (F.col("n") == F.col("size")).alias(f"{spans}_all")
     )
+    others = [c for c, kind in docs.dtypes if c != text and "map<" not in kind and kind != "variant"]
+    own = docs.withColumn(m, row_mark(F.col(key), F.col(source), F.col(text)))
+    own = own.withColumn(r, F.row_number().over(Window.partitionBy(m).orderBy(F.xxhash64(*others))))
     # the numbers are compared, not equated: then the rows stay where the numbering put them
     joined = own.join(
-        per_round.select(
-            F.col("id").alias(k), F.col("source").alias(f"{k}_s"), F.col("mark").alias(f"{m}_r"),
-            F.col("twin").alias(f"{r}_r"), spans, (F.col("n") == F.col("size")).alias(f"{spans}_all"),
-        ),
-        same(F.col(key), F.col(k)) & same(F.col(source), F.col(f"{k}_s"))
-        & (F.col(m) == F.col(f"{m}_r")) & (F.abs(F.col(r) - F.col(f"{r}_r")) < 1),
+        taken_of, (F.col(m) == F.col(f"{m}_r")) & (F.abs(F.col(r) - F.col(f"{r}_r")) < 1)
     )
     # a column of its own: inside a lambda the split would run once per span
     whole = F.col(f"{spans}_all")
