@@ -54,20 +54,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id, the one with the smallest text hash). Rows are told apart by id and text hash, so a text under an
     id that a copy carries, too, is judged for itself."""
     gone_id, mark, gone_mark = fresh(docs, "_gone", "_mark", "_gone_mark")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    # rows that agree in id and text are copies of one document
-    rows = store(docs.withColumn(mark, digest).dropDuplicates(["doc_id", mark]), "distinct-rows")
+    digest = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32))
     groups = store(
-        jaccard_components(rows, mark=F.col(mark)).filter(F.col("class").isNotNull())
+        jaccard_components(docs, mark=digest).filter(F.col("class").isNotNull())
         .select("class", F.struct("id", "mark").alias("row")), "groups",
     )
-    kept = groups.groupBy("class").agg(F.min("row").alias("stays"), F.count("*").alias("n")).filter("n > 1")
-    gone = groups.join(kept, "class").filter("row <> stays").select(
+    kept = groups.groupBy("class").agg(F.min("row").alias("stays"), F.max("row").alias("last"))
+    gone = groups.join(kept.filter("stays <> last").drop("last"), "class").filter("row <> stays").select(
         F.col("row.id").alias(gone_id), F.col("row.mark").alias(gone_mark)
+    ).distinct()
+    # rows that agree in id and text are copies of one document; the join has dealt them out already
+    return (
+        docs.withColumn(mark, digest)
+        .join(store(gone, "copies"), (F.col("doc_id") == F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
+        .dropDuplicates(["doc_id", mark]).select(docs.columns)
     )
-    return rows.join(
-        store(gone, "copies"), (F.col("doc_id") == F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti"
-    ).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
