@@ -4,6 +4,7 @@ from sightline.plans import (  # noqa: F401
     classification,
     collection,
     counters,
+    files,
     listing,
     nodes,
     streams,

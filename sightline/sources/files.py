@@ -37,10 +37,9 @@ def read_json_array(
         return numbered.select(F.from_json("value", schema).alias("r"), index).select("r.*", index)
     if not index:
         return spark.read.schema(schema).option("multiLine", True).json(path)
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(
-        F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("p", "r")
-    ).select("r.*", F.col("p").cast("bigint").alias(index))
+    # one file is one partition, which numbers its rows in order
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.withColumn(index, F.monotonically_increasing_id())
 
 
 def merge_item_fields(rows: DataFrame) -> DataFrame:
@@ -70,7 +69,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_hex_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a text file with one 40-digit hex id per line; other lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value"))
+    ends = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
+    lines = spark.read.text(path).select(F.regexp_replace("value", ends, "").alias("value"))
     return lines.select(parse_hex_id(F.col("value")).alias("infohash")).filter(
         F.col("infohash").isNotNull()
     )
@@ -80,7 +80,7 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     """(category, text, place) of the anchor file, in file order."""
     entries = read_json_array(spark, path, ANCHORS, index="_entry")
     return entries.select("category", "_entry", F.posexplode("anchors").alias("_n", "text")).select(
-        "category", "text", (F.col("_entry") * 1_000_000 + F.col("_n")).alias("place")
+        "category", "text", (F.shiftleft("_entry", 32) + F.col("_n")).alias("place")
     )
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.ids import sha1_matches
-from sightline.schemas import PARSED_PAYLOAD, PAYLOADS
+from sightline.schemas import PARSED_PAYLOAD
 
 MAX_DEPTH = 64
 I64_MAX = 2**63 - 1
@@ -134,27 +131,6 @@ def split_records(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(infohash, payload) of a folder of record files.
-
-    Records can only be found from a file's start, so each file is read by one task; a record
-    dump of any size is a folder of many files below 2 GB.
-    """
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                records = split_records(content.as_py())
-                for at in range(0, len(records), 1000):
-                    part = records[at:at + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[i] for r in part], pa.binary()) for i in (0, 1)],
-                        names=["infohash", "payload"],
-                    )
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, PAYLOADS)
-
-
 def ingest(payloads: DataFrame, ts: str, key: str = "infohash", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(metadata rows, failed outcome rows) of fetched payloads.
 

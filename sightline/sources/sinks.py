@@ -36,6 +36,29 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     )
 
 
+def write_metrics(rows: DataFrame, path: str, number: int) -> None:
+    """Store the snapshot rows (ts, metric_name, metric_value) of one write.
+
+    Writes are numbered, as micro-batches are; a write that is repeated replaces its own folder, and
+    of several writes of one (ts, name) the greatest number counts, in whatever order they end.
+    """
+    rows.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/write={number}")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, metric_name, metric_value): the last write of each."""
+    return spark.read.parquet(path).groupBy("ts", "metric_name").agg(
+        F.max_by("metric_value", "write").alias("metric_value")
+    )
+
+
+def session_marker(at: DataFrame, ts: str) -> DataFrame:
+    """The marker row of a session start, for each time of ``at``."""
+    return at.select(
+        F.col(ts).alias("ts"), F.lit(SESSION_MARKER).alias("metric_name"), F.lit(0).cast("bigint").alias("metric_value")
+    )
+
+
 def append_session_marker(spark: SparkSession, path: str, at: Column) -> None:
     append_metrics(
         spark.range(1).select(
