@@ -7,6 +7,7 @@ from sightline.plans import (  # noqa: F401
     files,
     listing,
     nodes,
+    similarity,
     streams,
     verification,
 )
