@@ -5,6 +5,7 @@ from sightline.plans import (  # noqa: F401
     collection,
     counters,
     files,
+    health,
     listing,
     nodes,
     similarity,
