@@ -9,8 +9,8 @@ Pieces are dealt by hash of their id into groups of about ``group_rows``, packed
 other in each task, from a stream: a task holds one pool, however large a group is.
 
 Documents become ids by a public tokenizer, plus an end id, cut every ``limit`` ids. Texts
-of ASCII and Latin-1 letters are split by the tokenizer's own rule, and the ids of each piece are kept
-in a bounded cache; of other texts, words of other characters go to the tokenizer as they are (it
+of ASCII and Latin-1 letters are split by the tokenizer's own rule, the new pieces of a block of texts are
+encoded in one call, and the ids of each piece are kept in a bounded cache; of other texts, words of other characters go to the tokenizer as they are (it
 drops white space and never merges across it).
 
 Defined results: null and empty texts are the end id alone; a piece over a limit by itself gets a
@@ -22,13 +22,15 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.llm.common import fresh
+from sightline.llm.common import fresh, slices
 from sightline.llm.registry import query
 from sightline.session import store
 
@@ -41,34 +43,25 @@ SAFE = re.compile(r"[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r\x20]+")
 
 
-class Bounded(dict):
-    """A cache that starts anew when it is full."""
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
-
-
 class Encoder:
-    """Text to ids (as little-endian unsigned 32-bit bytes) by a tokenizers file."""
+    """Texts to ids (as little-endian unsigned 32-bit bytes) by a tokenizers file.
+
+    Texts of a block are cut first; the pieces that are new are then encoded in one call. Known pieces
+    are kept in two generations: when the newer one is full it becomes the older.
+    """
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-
-        def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        self.encode, self.pieces = encode, Bounded(encode, 700_000)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        words = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(words.values()) + 1, bool)
+        self.word_end[[n for word, n in words.items() if word.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,17 +70,50 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def ids(self, text: str | None) -> bytes:
-        text = text or ""
-        if SAFE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
-        return b"".join(map(self.word, text.encode().split()))
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._pieces(text or "") for text in texts]
+        self._learn(set(chain.from_iterable(cut)))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
-    def word(self, raw: bytes) -> bytes:
-        text = raw.decode()
+    def _pieces(self, text: str) -> list[str]:
         if SAFE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
-        return self.encode(text)
+            return PIECES.findall(text.lower())
+        out = []
+        for raw in text.encode().split():
+            word = raw.decode()
+            safe = SAFE.fullmatch(word) and "<|" not in word
+            # a line end marks what goes to the tokenizer as it is: no piece holds one
+            out += PIECES.findall(word.lower()) if safe else ["\n" + word]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in pieces.difference(self.known):
+            ids = self.older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        raw = [piece for piece in new if piece[0] == "\n"]
+        if raw:
+            found = self.tokenizer.encode_batch_fast([p[1:] for p in raw], add_special_tokens=False)
+            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(raw, found))
+            new = [piece for piece in new if piece[0] != "\n"]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.known.update(zip(part, self._encoded(part)))
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of one word each, encoded as one text: the last token of every word says so."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        ends = (4 * np.flatnonzero(self.word_end[ids]) + 4).tolist()
+        if len(ends) != len(pieces):
+            found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in found]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def tokenizer_path() -> str:
@@ -109,16 +135,14 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for part in slices(batches, 1, 4 << 20):
             out: list[tuple] = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encoder.ids(value) + end
-                    total = len(ids) // 4
-                    for start in range(0, total, limit):
-                        own = ids[4 * start : 4 * (start + limit)]
-                        out.append((doc, start, len(own) // 4, zlib.crc32(own), total))
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
+                ids += end
+                total = len(ids) // 4
+                for start in range(0, total, limit):
+                    own = ids[4 * start : 4 * (start + limit)]
+                    out.append((doc, start, len(own) // 4, zlib.crc32(own), total))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names
             )
