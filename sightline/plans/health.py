@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sightline.operators import anomalies, reputation
+from sightline.operators import anomalies, lifetime, reputation
 from sightline.plans.registry import query
 
 KINDS = ["view", "click", "error", "signup", "purchase"]
@@ -71,3 +71,35 @@ def _(t):
     log = t.events.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"), "value")
     made = reputation.reputations(log, "user_id", "ts", "ok", "value", tie="event_id", rate=RATE, slice_seconds=86400)
     return made.withColumns({c: F.round(c, 6) for c in ("success_ema", "rtt_ema")})
+
+
+LIVES_SQL = """
+WITH s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2),
+l AS (SELECT event_type, a, epoch_us(b) - epoch_us(a) AS lived, TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR > b AS ended,
+    epoch_us(TIMESTAMP '2024-01-31') - epoch_us(a) AS until FROM s),
+c AS (SELECT event_type, date_trunc('week', a)::DATE AS week, CASE WHEN ended THEN lived ELSE until END // 3600000000 AS hour,
+    count(*) FILTER (WHERE ended) AS ends, count(*) AS n FROM l GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type, week ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk FROM c),
+k AS (SELECT *, product(1 - ends / at_risk) OVER (PARTITION BY event_type, week ORDER BY hour ROWS UNBOUNDED PRECEDING) AS survival FROM r)
+"""
+
+
+def curves(t):
+    """Pairs of user and event type as ids, by type and by the week in which they were first seen."""
+    seen = t.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    lives = lifetime.lifetimes(seen, F.lit("2024-01-31").cast("timestamp"), 72)
+    return lifetime.survival(
+        lives.withColumn("week", F.date_trunc("week", "first_seen").cast("date")), ["event_type", "week"]
+    )
+
+
+@query("survival_curves", LIVES_SQL + """
+SELECT event_type, week, hour, at_risk::BIGINT AS at_risk, ends, round(survival, 6) AS survival FROM k WHERE ends > 0""")
+def _(t):
+    return curves(t).withColumn("survival", F.round("survival", 6))
+
+
+@query("median_lifetimes", LIVES_SQL + """
+SELECT event_type, week, min(hour) FILTER (WHERE survival <= 0.5) AS median_hours FROM k WHERE ends > 0 GROUP BY 1, 2""")
+def _(t):
+    return lifetime.median_lifetime(curves(t), ["event_type", "week"])

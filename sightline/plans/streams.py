@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators.sightings import latest_rows
 from sightline.plans.collection import SIGHTINGS_SQL, sources_text
+from sightline.plans.health import EMA_SQL, RATE
 from sightline.plans.registry import query
 from sightline.plans.verification import EXPONENTIAL, REPLIES_SQL, outcomes
 from sightline.session import work_path
@@ -127,6 +128,15 @@ def _(t):
     return ntz(whole_events(t, make, "replies", 24 * 3600), "ts", "reply_ts")
 
 
+@query("stream_value_ema", EMA_SQL + "SELECT event_id, user_id, round(ema, 6) AS ema FROM r")
+def _(t):
+    def make(events):
+        return ops.moving_average(events, "user_id", "ts", "value", RATE, tie="event_id", late="1 hour")
+
+    made = whole_events(t, make, "ema", 24 * 3600)
+    return made.select("event_id", "user_id", F.round("ema", 6).alias("ema"))
+
+
 @query("stream_rate_limit")
 def _(t):
     stream = event_stream(t).select("event_id", "user_id", "ts")

@@ -35,66 +35,127 @@ def counts(stream: DataFrame, name: str, ts: str, width: str = "1 minute", late:
     )
 
 
-class _Correlation(StatefulProcessor):
-    """State of one transaction id: the open request, and the events that wait for the watermark.
+class _InOrder(StatefulProcessor):
+    """Walks the events of a key in the order of (time, tie), whatever order they come in.
 
-    Events may come late and out of order; they are walked once the watermark has passed them, so the
-    outcomes do not depend on how the input was cut into micro-batches.
+    Events wait in a list until the watermark has passed them; one value is kept between them. So
+    results do not depend on how the input was cut into micro-batches. Rows whose last field is null
+    only move the watermark.
     """
 
-    def __init__(self, timeout_us: int, tie: T.DataType):
-        self.timeout_us, self.tie = timeout_us, tie
+    def __init__(self, fields: T.StructType, state: T.StructType):
+        self.fields, self.state = fields, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        request = T.StructType().add("sent", "long").add("tie", self.tie)
-        self.open = handle.getValueState("open", request)
-        self.waiting = handle.getListState("waiting", T.StructType().add("us", "long").add("tie", self.tie).add("asks", "boolean"))
+        self.kept = handle.getValueState("kept", self.state)
+        self.waiting = handle.getListState("waiting", self.fields)
+
+    def walk(self, key, kept: tuple | None, ready: list[tuple], passed: int) -> tuple[list[Row], tuple | None, int | None]:
+        """(rows to give out, what is kept, when to look again at the latest) after the ready events."""
+        raise NotImplementedError
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(r["us"], r["tie"], r["asks"]) for r in rows if r["asks"] is not None]
+        names = self.fields.fieldNames()
+        new = [tuple(r[name] for name in names) for r in rows if r[names[-1]] is not None]
         if new:
             self.waiting.appendList(new)
-            self._wake(min(new)[0])
+            self._wake(min(e[0] for e in new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        events = sorted(waiting, key=lambda e: e[:2])
         ready = [e for e in events if e[0] <= passed]
         later = events[len(ready):]
-        open_ = tuple(self.open.get()) if self.open.exists() else None
-        steps = walk(open_, ready, self.timeout_us)
-        while True:
-            try:
-                outcome, sent, tie, reply = next(steps)
-            except StopIteration as end:
-                open_ = end.value
-                break
-            yield Row(key=key[0], sent=sent, tie=tie, outcome=outcome, reply=reply)
-        if open_ is not None and open_[0] + self.timeout_us <= passed:
-            yield Row(key=key[0], sent=open_[0], tie=open_[1], outcome=TIMEOUT, reply=None)
-            open_ = None
-        if ready:
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
+        before = tuple(self.kept.get()) if self.kept.exists() else None
+        out, after, again = self.walk(key[0], before, ready, passed)
+        if ready and later:
+            self.waiting.put(later)
+        elif ready:
+            self.waiting.clear()
         if later:
             self._wake(later[0][0])
-        if open_ is None:
-            self.open.clear()
+        if after is None:
+            self.kept.clear()
         else:
-            self.open.update(open_)
-            self._wake(open_[0] + self.timeout_us)
+            self.kept.update(after)
+        if again is not None:
+            self._wake(again)
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
+class _Correlation(_InOrder):
+    """Keeps the open request of a transaction id."""
+
+    def __init__(self, timeout_us: int, tie: T.DataType):
+        super().__init__(
+            T.StructType().add("us", "long").add("tie", tie).add("asks", "boolean"),
+            T.StructType().add("sent", "long").add("tie", tie),
+        )
+        self.timeout_us = timeout_us
+
+    def walk(self, key, kept, ready, passed):
+        out, steps = [], walk(kept, ready, self.timeout_us)
+        while True:
+            try:
+                outcome, sent, tie, reply = next(steps)
+            except StopIteration as end:
+                kept = end.value
+                break
+            out.append(Row(key=key, sent=sent, tie=tie, outcome=outcome, reply=reply))
+        if kept is not None and kept[0] + self.timeout_us <= passed:
+            out.append(Row(key=key, sent=kept[0], tie=kept[1], outcome=TIMEOUT, reply=None))
+            kept = None
+        return out, kept, None if kept is None else kept[0] + self.timeout_us
+
+
+class _Average(_InOrder):
+    """Keeps the moving average of a key."""
+
+    def __init__(self, rate: float, tie: T.DataType):
+        super().__init__(
+            T.StructType().add("us", "long").add("tie", tie).add("x", "double"), T.StructType().add("ema", "double")
+        )
+        self.rate = rate
+
+    def walk(self, key, kept, ready, passed):
+        out, ema = [], kept[0] if kept else None
+        for us, tie, x in ready:
+            ema = x if ema is None else (1 - self.rate) * ema + self.rate * x
+            out.append(Row(key=key, us=us, tie=tie, x=x, ema=ema))
+        return out, None if ema is None else (ema,), None
+
+
+def moving_average(
+    log: DataFrame, key: str, ts: str, value: str, rate: float, *, tie: str, late: str = "30 seconds", output: str = "ema",
+) -> DataFrame:
+    """(key, ts, tie, value, ema) of each event, once the watermark has passed it: what
+    ``operators.reputation.moving_average`` gives. State is one number a key; rows without a value only
+    move the watermark. Sets the state store that has timers for the session."""
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kinds = [log.schema[c].dataType for c in (key, tie)]
+    rows = log.withWatermark(ts, late).select(
+        F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("x")
+    )
+    made = rows.groupBy("key").transformWithState(
+        _Average(rate, kinds[1]),
+        T.StructType().add("key", kinds[0]).add("us", "long").add("tie", kinds[1]).add("x", "double").add("ema", "double"),
+        outputMode="Append", timeMode="EventTime",
+    )
+    return made.select(
+        F.col("key").alias(key), F.timestamp_micros("us").alias(ts), F.col("tie").alias(tie), F.col("x").alias(value),
+        F.col("ema").alias(output),
+    )
+
+
 def correlate(
     log: DataFrame, key: str, ts: str, asks: str, tie: str, timeout_seconds: float, late: str = "30 seconds",
 ) -> DataFrame:

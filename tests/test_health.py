@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import anomalies, reputation
+from sightline.operators import anomalies, lifetime, reputation
 
 START = dt.datetime(2024, 1, 1)
 
@@ -85,3 +85,48 @@ def test_reputation_of_peers(spark):
     got = {r.peer: r for r in reputation.reputations(df, "peer", "ts", "ok", "took", tie="n", rate=0.5).collect()}
     assert (got["a"].success_ema, got["a"].rtt_ema, got["a"].query_count, got["a"].fail_count) == (0.75, 15.0, 3, 1)
     assert (got["b"].success_ema, got["b"].rtt_ema, got["b"].last_response) == (0.0, None, None)
+
+
+def product_limit(lives):
+    """The curve of (whole hours, ended) by its definition."""
+    curve, share = {}, 1.0
+    for hour in sorted({h for h, _ in lives}):
+        risk = sum(h >= hour for h, _ in lives)
+        ends = sum(h == hour and e for h, e in lives)
+        share *= 1 - ends / risk
+        if ends:
+            curve[hour] = (risk, ends, share)
+    return curve
+
+
+def test_survival_curve(spark):
+    draw = random.Random(8)
+    lives = [(draw.choice("ab"), draw.expovariate(1 / 40), draw.random() < 0.6) for _ in range(400)] + [("c", 5.0, True), ("d", 7.0, False)]
+    df = spark.createDataFrame([*lives, ("a", None, True)], "kind string, age double, ended boolean")
+    curve = lifetime.survival(df, ["kind"]).cache()
+    for kind in "abcd":
+        want = product_limit([(int(age), e) for k, age, e in lives if k == kind])
+        got = {r.hour: (r.at_risk, r.ends, pytest.approx(r.survival)) for r in curve.filter(F.col("kind") == kind).collect()}
+        assert got == want
+        if kind in "ab":
+            half = min(h for h, v in want.items() if v[2] <= 0.5)
+            assert lifetime.median_lifetime(curve, ["kind"]).filter(F.col("kind") == kind).first().median_hours == half
+
+
+def test_silent_ids_have_ended(spark):
+    rows = [(START, START + dt.timedelta(hours=10)), (START, START + dt.timedelta(hours=95)), (START, START)]
+    df = spark.createDataFrame(rows, "first_seen timestamp, last_seen timestamp")
+    got = lifetime.lifetimes(df, F.lit(START + dt.timedelta(hours=100)), 24).collect()
+    assert [(r.ended, r.age) for r in got] == [(True, 10.0), (False, 100.0), (True, 0.0)]
+
+
+def test_lifetime_regression_finds_the_effect(spark):
+    """Weibull lives that double with every step of x, a third of them cut off."""
+    draw = np.random.default_rng(4)
+    x = draw.integers(0, 4, 3000)
+    age = 50 * np.exp(0.7 * x) * draw.weibull(1.5, 3000)
+    cut = 20 + 800 * draw.random(3000)
+    df = spark.createDataFrame([(float(a), float(min(t, c)), bool(t <= c)) for a, t, c in zip(x, age, cut)], "x double, age double, ended boolean")
+    model = lifetime.fit_lifetime(df, ["x"])
+    assert model.coefficients[0] == pytest.approx(0.7, abs=0.05) and model.scale == pytest.approx(1 / 1.5, abs=0.05)
+    assert lifetime.lifetime_features(df, ["x"]).transform(model.transform).count() == 3000

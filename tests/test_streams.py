@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import jobs, peers, throttle
+from sightline.operators import jobs, peers, reputation, throttle
 from sightline.operators.sightings import fold_sightings
 from sightline.plans.registry import Tables
 from sightline.plans.streams import finished, finished_whole, reply_log
@@ -113,3 +113,11 @@ def test_replies(spark, cut, batch):
     expected = peers.match_replies(of("view"), of("click"), "user_id", "ts", 6 * 3600, tie="event_id")
     same(got, expected)
     assert got.count() == of("view").count()
+
+
+def test_moving_average(spark, cut, batch):
+    make = lambda events: ops.moving_average(events, "user_id", "ts", "value", 0.2, tie="event_id", late="1 hour")
+    got = finished_whole(spark, lambda: stream(spark, cut, batch), batch, make, "ema", 24 * 3600)
+    expected = reputation.moving_average(batch.select("user_id", "ts", "event_id", "value"), "user_id", "ts", "value", 0.2, tie="event_id")
+    rounded = lambda df: df.withColumn("ema", F.round("ema", 9))
+    same(rounded(got), rounded(expected))
