@@ -6,7 +6,7 @@ from sightline.operators.sightings import latest_rows
 from sightline.plans.collection import SIGHTINGS_SQL, sources_text
 from sightline.plans.health import EMA_SQL, RATE
 from sightline.plans.registry import query
-from sightline.plans.verification import EXPONENTIAL, REPLIES_SQL, outcomes
+from sightline.plans.verification import EXPONENTIAL, REPLIES_SQL, THROTTLE_SQL, outcomes
 from sightline.session import work_path
 from sightline.streaming import events as ops
 from sightline.streaming import tables
@@ -137,7 +137,7 @@ def _(t):
     return made.select("event_id", "user_id", F.round("ema", 6).alias("ema"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", THROTTLE_SQL)
 def _(t):
     stream = event_stream(t).select("event_id", "user_id", "ts")
     made = ops.rate_limit(stream, "user_id", "ts", 1 / 36000, 3.0, 86400.0)

@@ -233,7 +233,20 @@ def _(t):
     return peers.match_replies(of("view"), of("click"), "user_id", "ts", 6 * 3600, tie="event_id")
 
 
-@query("rate_limit")
+# whole units: a token is 36 000 000 000 of them, a microsecond adds one, a bucket holds three tokens
+THROTTLE_SQL = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, event_id, ts, us, 72000000000 AS units, true AS allowed FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id, e.ts, e.us, CASE WHEN f >= 36000000000 THEN f - 36000000000 ELSE f END, f >= 36000000000
+  FROM r x JOIN e ON e.user_id = x.user_id AND e.n = x.n + 1,
+  LATERAL (SELECT CASE WHEN e.us - x.us > 86400000000 THEN 108000000000
+    ELSE least(108000000000, x.units + e.us - x.us) END AS f) l)
+SELECT event_id, user_id, ts, allowed FROM r"""
+
+
+@query("rate_limit", THROTTLE_SQL)
 def _(t):
     hits = t.events.select("event_id", "user_id", "ts")
     return throttle.rate_limit(hits, "user_id", "ts", rate=1 / 36000, burst=3, tie="event_id",
