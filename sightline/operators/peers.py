@@ -65,6 +65,19 @@ def first_peers(peers: DataFrame, key: str, peer: str, ts: str, count: int) -> D
     )
 
 
+def last_peers(answers: DataFrame, key: str, peer: str, ts: str, count: int, since: Column | None = None) -> DataFrame:
+    """(key, peer, ts): of each id the ``count`` peers that answered last, none from before ``since``.
+
+    A fold: what it gives for several stretches of the log gives the same for all of it when folded once
+    more, so it serves as the fold of a stored table. Repeats collapse on the map side, and the rank
+    filter cuts each group to ``count`` before it is shuffled.
+    """
+    rows = answers if since is None else answers.filter(F.col(ts) >= since)
+    latest = rows.groupBy(key, peer).agg(F.max(ts).alias(ts))
+    order = Window.partitionBy(key).orderBy(F.col(ts).desc(), peer)
+    return latest.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= count).drop("_rank")
+
+
 def suppress_bad(
     checks: DataFrame, bad: DataFrame, addr: str, ts: str, ttl_seconds: int = 600, *,
     tie: str | None = None, slice_seconds: int = DEFAULT_SLICE_SECONDS,

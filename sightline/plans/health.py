@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sightline.operators import anomalies, lifetime, reputation
+from sightline.operators import anomalies, lifetime, peers, reputation
 from sightline.plans.registry import query
 
 KINDS = ["view", "click", "error", "signup", "purchase"]
@@ -103,3 +103,18 @@ def _(t):
 SELECT event_type, week, min(hour) FILTER (WHERE survival <= 0.5) AS median_hours FROM k WHERE ends > 0 GROUP BY 1, 2""")
 def _(t):
     return lifetime.median_lifetime(curves(t), ["event_type", "week"])
+
+
+@query("last_peers", """
+WITH a AS (SELECT l_partkey, l_suppkey, max(l_shipdate) AS l_shipdate FROM lineitem
+  WHERE l_returnflag <> 'R' AND l_shipdate >= DATE '1995-01-01' GROUP BY 1, 2)
+SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_suppkey) <= 3""")
+def _(t):
+    """Suppliers as peers of a part; what was returned is no answer."""
+    answers = t.lineitem.filter("l_returnflag <> 'R'").select("l_partkey", "l_suppkey", "l_shipdate")
+    return peers.last_peers(answers, "l_partkey", "l_suppkey", "l_shipdate", 3, F.lit("1995-01-01").cast("date"))
+
+
+LAST_USERS_SQL = """
+WITH a AS (SELECT event_type, user_id, max(ts) AS ts FROM events WHERE value >= 50 GROUP BY 1, 2)
+SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, user_id) <= 8"""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators.sightings import latest_rows
 from sightline.plans.collection import SIGHTINGS_SQL, sources_text
-from sightline.plans.health import EMA_SQL, RATE
+from sightline.plans.health import EMA_SQL, LAST_USERS_SQL, RATE
 from sightline.plans.registry import query
 from sightline.plans.verification import EXPONENTIAL, REPLIES_SQL, THROTTLE_SQL, outcomes
 from sightline.session import work_path
@@ -154,3 +154,12 @@ def _(t):
     )
     made = ops.suppress_bad(stream, "user_id", "ts", "is_mark", 86400)
     return ntz(finished(t, made, "suppress").drop("is_mark"), "ts")
+
+
+@query("stream_last_peers", LAST_USERS_SQL)
+def _(t):
+    path = work_path(t.spark, "last-peers")
+    table = tables.last_peers_table(t.spark, path, "event_type", "user_id", "ts", 8)
+    answers = event_stream(t).filter("value >= 50").select("event_type", "user_id", "ts")
+    tables.run_into(answers, table, lambda batch, _: batch, f"{path}-state").awaitTermination()
+    return ntz(table.read(), "ts")

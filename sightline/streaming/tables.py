@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sightline.operators.jobs import jobs_from_summaries, merge_summaries, summarise_outcomes
+from sightline.operators.peers import last_peers
 from sightline.operators.sightings import fold_sightings, latest_rows, merge_sightings
 from sightline.sources.sinks import FoldTable
 
@@ -69,3 +70,8 @@ def run_outcomes(stream: DataFrame, table: FoldTable, checkpoint: str, key: str
 
 def read_jobs(table: FoldTable, key: str = "infohash", schedule: str = "exponential") -> DataFrame:
     return jobs_from_summaries(table.read(), key, schedule)
+
+
+def last_peers_table(spark, path: str, key: str, peer: str, ts: str, count: int) -> FoldTable:
+    """The last peers of each id; a batch holds ``count`` rows an id at most."""
+    return FoldTable(spark, path, lambda rows: last_peers(rows, key, peer, ts, count))

@@ -121,3 +121,14 @@ def test_moving_average(spark, cut, batch):
     expected = reputation.moving_average(batch.select("user_id", "ts", "event_id", "value"), "user_id", "ts", "value", 0.2, tie="event_id")
     rounded = lambda df: df.withColumn("ema", F.round("ema", 9))
     same(rounded(got), rounded(expected))
+
+
+def test_last_peers(spark, cut, batch, tmp_path):
+    of = lambda df: df.filter("value >= 50").select("event_type", "user_id", "ts")
+    table = tables.last_peers_table(spark, str(tmp_path / "t"), "event_type", "user_id", "ts", 8)
+    tables.run_into(of(stream(spark, cut, batch)), table, lambda b, _: b, str(tmp_path / "c"), compact_every=2).awaitTermination()
+    expected = peers.last_peers(of(batch), "event_type", "user_id", "ts", 8)
+    same(table.read(), expected)
+    since = expected.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    recent = peers.last_peers(table.read(), "event_type", "user_id", "ts", 8, F.lit(since))
+    assert 0 < recent.count() < expected.count() and recent.filter(F.col("ts") < since).count() == 0
