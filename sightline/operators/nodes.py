@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,16 +183,17 @@ def _first_comers(rows: DataFrame, order: list[str], k: int) -> DataFrame:
 
 
 def _settled_ends(
-    rows: DataFrame, order: list[str], k: int, ends_of: Callable[[DataFrame], DataFrame]
+    rows: DataFrame, order: list[str], k: int, first: DataFrame, ends_of: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """(bucket, _slice, _end) where every slice started with what the one before ended with."""
+    """(bucket, _slice, _end) where every slice started with what the one before ended with; the
+    first slice of a bucket starts with its ``_first``."""
     on = ["bucket", "_slice"]
     along = Window.partitionBy("bucket").orderBy("_slice")
     starts = store(_first_comers(rows, order, k), "buckets")
     state = store(ends_of(rows.join(starts, on)).join(starts, on), "buckets")
     while True:
-        due = state.withColumn(
-            "_due", F.coalesce(F.lag("_end").over(along), F.array().cast("array<binary>"))
+        due = state.join(F.broadcast(first), "bucket").withColumn(
+            "_due", F.coalesce(F.lag("_end").over(along), F.col("_first"))
         )
         wrong = store(
             due.filter(F.col("_due") != F.col("_start"))
@@ -206,6 +208,34 @@ def _settled_ends(
         )
 
 
+def _tails(
+    rows: DataFrame, state: DataFrame, large: list[int], order: list[str], k: int, whole_rows: int,
+    ends_of: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(bucket, _slice, _end) of what follows the last slice of a large bucket whose end is known."""
+    nothing = F.array().cast("array<binary>")
+    ended = F.when(F.col("_end").isNotNull(), F.col("_slice"))
+    # at most one row per bucket, here and in the counts
+    known = store(
+        state.filter(F.col("bucket").isin(large)).groupBy("bucket").agg(
+            F.max(ended).alias("_known"), F.max("_slice").alias("_last"),
+            F.coalesce(F.max_by("_end", ended), nothing).alias("_first"),
+        ).filter(F.col("_known").isNull() | (F.col("_known") < F.col("_last"))), "known",
+    )
+    tail = rows.join(F.broadcast(known), "bucket").filter(
+        F.col("_known").isNull() | (F.col("_slice") > F.col("_known"))
+    )
+    counts = tail.groupBy("bucket").count().collect()
+    long = [r["bucket"] for r in counts if r["count"] > whole_rows]
+    # the last slice number stands for the whole tail
+    short = tail.filter(~F.col("bucket").isin(long)).withColumn("_slice", F.col("_last")).withColumn("_start", F.col("_first"))
+    ends = ends_of(short)
+    if long:
+        late = tail.filter(F.col("bucket").isin(long)).select("bucket", "_slice", "_id", *order)
+        ends = ends.unionByName(_settled_ends(late, order, k, known.select("bucket", "_first"), ends_of))
+    return ends
+
+
 def retain_buckets(
     nodes: DataFrame, own: Column, k: int = 8, *, node: str = "id", seen: str = "seen_ts",
     tie: str | None = None, slices: Column | None = None, whole_rows: int = 1_000_000,
@@ -215,19 +245,24 @@ def retain_buckets(
     Each bucket keeps k ids; a new id pushes out the one inserted longest ago, a known id only
     changes its address. A bucket of more than ``whole_rows`` rows is cut into time slices
     (``slices`` gives another non-decreasing number, say for a sequence instead of a time).
-    All slices are run at once from a guessed start, the last k ids that had first appeared by
-    then, which is right while no id returns after it was pushed out. Slices that did not start
-    with what the one before ended with are run again until all do, so the result never rests
-    on the guess; a full bucket forgets its past within a few insertions. No task reads more
-    than a slice of a large bucket, and it reads that as a stream.
+
+    All slices are run at once, each from an unknown start. After 3k - 1 rows in a row with
+    different ids the bucket holds the last k of them, whatever it held before: an id that is
+    seen again after 2k - 1 others has been pushed out, as at most k - 1 of these were in the
+    bucket with it and the other k were inserted later. From there on a slice is run exactly.
+    What follows the last slice of a bucket that came to such a point is run again from that
+    slice's end, as one stream; if that is more than ``whole_rows`` rows, slice by slice from a
+    guess (the last k ids that had first appeared by then) until every slice started with what
+    the one before ended with. No task holds more than a stream of rows and k ids.
     """
     order = [seen] + ([tie] if tie else [])
     rest = [c for c in nodes.columns if c not in (node, *order)]
     slice_no = slices if slices is not None else time_chunk(F.col(seen), DEFAULT_SLICE_SECONDS)
-    placed = nodes.filter(F.col(node) != own).select(
-        bucket_index(own, F.col(node)).alias("bucket"), slice_no.cast("bigint").alias("_slice"),
-        F.col(node).alias("_id"), *order,
-    )
+    # buckets are worked out once; rows without a time come first
+    placed = store(nodes.filter(F.col(node) != own).select(
+        bucket_index(own, F.col(node)).alias("bucket"),
+        F.coalesce(slice_no.cast("bigint"), F.lit(-(2**63))).alias("_slice"), F.col(node).alias("_id"), *order,
+    ), "placed")
     # one count per bucket reaches the driver: at most 160
     sizes = placed.groupBy("bucket").count().collect()
     large = [r["bucket"] for r in sizes if r["count"] > whole_rows]
@@ -236,40 +271,62 @@ def retain_buckets(
     )
     on = ["bucket", "_slice"]
     schema = "bucket int, _slice bigint, _end array<binary>"
+    kind = pa.schema([("bucket", pa.int32()), ("_slice", pa.int64()), ("_end", pa.list_(pa.binary()))])
+    sure = 3 * k - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The end of each slice; null while the start is unknown and no row has settled it."""
+        group, held, recent, ends = None, {}, {}, []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held = None, {}
-        ends = []
-        for pdf in batches:
-            for b, s, i, start in zip(pdf["bucket"], pdf["_slice"], pdf["_id"], pdf["_start"]):
-                if (b, s) != group:
+        def end():
+            ends.append({"bucket": group[0], "_slice": group[1], "_end": None if held is None else list(held)})
+
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1)])
+            cuts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1
+            for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if tuple(places[:, at].tolist()) != group:
                     if group:
-                        ends.append((*group, list(held)))
-                    group, held = (b, s), dict.fromkeys(start)
-                if i not in held:
-                    if len(held) >= k:
-                        del held[next(iter(held))]
-                    held[i] = None
-            yield pd.DataFrame(ends, columns=[*on, "_end"])
-            ends = []
+                        end()
+                    group, recent = tuple(places[:, at].tolist()), {}
+                    start = batch.column(3)[int(at)].as_py()
+                    held = None if start is None else dict.fromkeys(map(bytes.fromhex, start.split()))
+                for i in batch.column(2).slice(at, to - at).to_pylist():
+                    if held is None:
+                        if i in recent:
+                            # only what followed its last row is free of repeats
+                            later = list(recent)
+                            recent = dict.fromkeys(later[later.index(i) + 1 :])
+                        recent[i] = None
+                        if len(recent) == sure:
+                            held = dict.fromkeys(list(recent)[-k:])
+                    elif i not in held:
+                        if len(held) >= k:
+                            del held[next(iter(held))]
+                        held[i] = None
+            yield pa.RecordBatch.from_pylist(ends, kind)
+            ends.clear()
         if group:
-            yield pd.DataFrame([(*group, list(held))], columns=[*on, "_end"])
+            end()
+            yield pa.RecordBatch.from_pylist(ends, kind)
 
     nothing = F.array().cast("array<binary>")
 
     def ends_of(started: DataFrame) -> DataFrame:
+        # a text goes to Python far faster than a list
+        start = F.array_join(F.transform("_start", F.hex), " ").alias("_start")
         return (
-            started.select(*on, "_id", "_start", *order).repartition(*on)
-            .sortWithinPartitions(*on, *order).mapInPandas(run, schema)
+            started.select(*on, "_id", start, *order).repartition(*on)
+            .sortWithinPartitions(*on, *order).mapInArrow(run, schema)
         )
 
-    state = ends_of(rows.filter(~F.col("bucket").isin(large)).withColumn("_start", nothing))
+    unknown = F.when(~F.col("bucket").isin(large), nothing)
+    state = store(ends_of(rows.withColumn("_start", unknown)), "buckets")
     if large:
-        sliced = rows.filter(F.col("bucket").isin(large))
-        state = state.unionByName(_settled_ends(sliced, order, k, ends_of))
-    final = state.groupBy("bucket").agg(F.max_by("_end", "_slice").alias("_end")).select(
-        "bucket", F.posexplode("_end").alias("_at", node)
-    )
+        state = state.unionByName(_tails(rows.filter(F.col("bucket").isin(large)), state, large, order, k, whole_rows, ends_of))
+    final = state.filter(F.col("_end").isNotNull()).groupBy("bucket").agg(
+        F.max_by("_end", "_slice").alias("_end")
+    ).select("bucket", F.posexplode("_end").alias("_at", node))
     # at most k rows per bucket
     kept = store(final.select("bucket", node, (F.col("_at") + 1).alias("position")), "buckets")
     if not rest:

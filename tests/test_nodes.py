@@ -79,6 +79,27 @@ def test_retention_against_a_plain_queue(spark, size, width):
     assert got == expected
 
 
+@pytest.mark.parametrize("quiet,whole", [(0, 400), (300, 400), (300, 100), (1000, 100)])
+def test_retention_starts_from_rows_that_settle_it(spark, monkeypatch, quiet, whole):
+    """Slices start from unknown buckets; only a long tail of few ids is run from a guess."""
+    rng = random.Random(quiet)
+    own = bytes(20)
+    many, few = [b"\x80" + rng.randbytes(19) for _ in range(300)], [b"\xc0" + rng.randbytes(19) for _ in range(10)]
+    rows = [(rng.choice(few if i >= 1000 - quiet else many), i, f"addr{i}") for i in range(1000)]
+    held = {}
+    for node, _, addr in rows:
+        if node not in held and len(held) >= 8:
+            del held[next(iter(held))]
+        held[node] = addr
+    guessed = []
+    plain = nodes._settled_ends
+    monkeypatch.setattr(nodes, "_settled_ends", lambda *a: guessed.append(1) or plain(*a))
+    df = spark.createDataFrame(rows, "id binary, seen_ts long, addr string")
+    got = nodes.retain_buckets(df, F.lit(own), slices=F.floor(F.col("seen_ts") / 100), whole_rows=whole).collect()
+    assert [(bytes(r.id), r.addr) for r in sorted(got, key=lambda r: r.position)] == list(held.items())
+    assert bool(guessed) == (quiet > whole)
+
+
 def test_nearest_pool_without_members(spark):
     members = spark.createDataFrame([], "id binary, pool string")
     targets = spark.createDataFrame([(b"\1" * 20,)], "target binary")
