@@ -31,6 +31,8 @@ PART_ROWS = 4096
 #: Rows that the centroids are fitted on, at most, and the most lists there may be.
 SAMPLE_ROWS, MOST_LISTS = 50_000, 4096
 DIGITS = 9
+#: Vectors that a task compares with all centroids at once, and probes that it hands on at once.
+ASKED_ROWS, PROBE_ROWS = 256, 8192
 
 
 def _usable(vector: Column, width: int) -> Column:
@@ -43,6 +45,23 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, no more than ``rows`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _probes(part: pa.RecordBatch, at: np.ndarray, lists: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(query_id, v, list) of row ``at`` for each list, in batches of bounded size."""
+    for first in range(0, len(at), PROBE_ROWS):
+        taken = pa.array(at[first : first + PROBE_ROWS])
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0).take(taken), part.column(1).take(taken), pa.array(lists[first : first + PROBE_ROWS].astype(np.int32))],
+            ["query_id", "v", "list"],
+        )
+
+
 def _rows(vectors: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     as_double = F.col(vector).cast("array<double>")
     return vectors.select(F.col(key).alias("id"), as_double.alias("v")).filter(
@@ -89,7 +108,7 @@ class InvertedFile:
         rows = _rows(vectors, key, vector, width)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
+            for part in _cut(batches, ASKED_ROWS):
                 unit = _unit(part.column(1), width)
                 # nearest by distance: |c|^2 - 2 u.c
                 far = (centroids ** 2).sum(axis=1) - 2 * unit @ centroids.T
@@ -123,14 +142,10 @@ class InvertedFile:
         kind = asked.schema["query_id"].dataType.simpleString()
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
+            for part in _cut(batches, ASKED_ROWS):
                 far = (centroids ** 2).sum(axis=1) - 2 * _unit(part.column(1), width) @ centroids.T
                 near = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                at = np.repeat(np.arange(len(near)), near.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(near.reshape(-1))],
-                    ["query_id", "v", "list"],
-                )
+                yield from _probes(part, np.repeat(np.arange(len(near)), near.shape[1]), near.reshape(-1))
 
         first = store(asked.mapInArrow(probe, f"query_id {kind}, v array<double>, list int"), "probes")
         found = self._compared(first, k, kind)
@@ -141,17 +156,13 @@ class InvertedFile:
             last = found.filter(F.col("rank") == k).select(F.col("query_id").alias("q"), "score")
 
             def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for part in batches:
+                for part in _cut(batches, ASKED_ROWS):
                     unit = _unit(part.column(1), width)
                     away = np.sqrt(np.maximum(0, (unit ** 2).sum(axis=1)[:, None] + (centroids ** 2).sum(axis=1) - 2 * unit @ centroids.T))
                     score = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
                     # distance of unit vectors from their cosine; no k-th one yet: anything may be nearer
                     limit = np.where(np.isnan(score), np.inf, np.sqrt(np.maximum(0, 2 - 2 * score)))
-                    at, lists = np.nonzero(away - reach <= limit[:, None] + 1e-6)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(lists.astype(np.int32))],
-                        ["query_id", "v", "list"],
-                    )
+                    yield from _probes(part, *np.nonzero(away - reach <= limit[:, None] + 1e-6))
 
             more = asked.join(last, F.col("query_id") == F.col("q"), "left").select("query_id", "v", "score").mapInArrow(
                 further, f"query_id {kind}, v array<double>, list int"

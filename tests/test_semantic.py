@@ -1,6 +1,7 @@
 """The inverted file against all pairs: recall of the probes, exact answers, batches, pruned scans."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sightline.operators import semantic
@@ -93,3 +94,17 @@ def test_odd_vectors(spark, tmp_path):
     assert got == {1: [(2, 1.0), (10, 0.0), (10, 0.0)], 2: [(1, 1.0), (10, 0.0), (10, 0.0)]}
     empty = InvertedFile.build(df.limit(0), str(tmp_path / "b"), width=2)
     assert empty.nearest(df, 3, exact=True).collect() == []
+
+
+def test_probes_leave_in_bounded_batches(spark, built, monkeypatch):
+    """However many lists a query needs, no task hands on all its probes at once."""
+    index, ids, v = built
+    part = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([[1.0, 0.0]] * 300)], ["query_id", "v"])
+    at, lists = np.repeat(np.arange(300), 100), np.tile(np.arange(100), 300)
+    made = list(semantic._probes(part, at, lists))
+    assert max(b.num_rows for b in made) <= semantic.PROBE_ROWS < len(at) == sum(b.num_rows for b in made)
+    assert [r for b in made for r in b.column(0).to_pylist()] == at.tolist()
+    monkeypatch.setattr(semantic, "ASKED_ROWS", 7)
+    monkeypatch.setattr(semantic, "PROBE_ROWS", 13)
+    asked = np.arange(0, 3000, 100)
+    assert answers(index.nearest(frame(spark, ids[asked], v[asked]), 10, probes=2, exact=True)) == plain(ids, v, asked, 10)
