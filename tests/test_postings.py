@@ -84,3 +84,23 @@ def test_another_session_finds_the_table(spark, items, tmp_path):
     postings.write_postings(items, str(tmp_path), "infohash", buckets=5)
     again = postings.PostingTable(spark, str(tmp_path))
     assert again.buckets == 5 and again.containing("smile").collect()[0].id == 17
+
+
+def test_blocks_are_written_in_runs(spark, items, tmp_path, monkeypatch):
+    """A task holds the postings of a run of names, and answers stay those of the scan."""
+    monkeypatch.setattr(postings, "RUN_CHARS", 40)
+    index = postings.write_postings(items, str(tmp_path), "infohash", buckets=4)
+    assert index.rows().groupBy("kind", "piece", "block").count().filter("count > 1").count() > 0
+    for term in ("item 7 of", "re", "\U0001f600\U0001f600 s"):
+        low = F.lower(F.lit(term))
+        want = {r.infohash for r in items.filter(F.contains(F.lower("name"), low)).collect()}
+        assert {r.id for r in index.containing(term).collect()} == want
+    scan = search.search(items, "red widget", limit=100).collect()
+    assert search.search(items, "red widget", limit=100, index=index).collect() == scan
+
+
+def test_windows_of_a_run():
+    names = ["abca", "", "é\U0001f600", "a"]
+    pieces, owners, numbers = postings._windows(names)
+    want = [(n[at : at + 3], owner, at) for owner, n in enumerate(names) for at in range(len(n))]
+    assert list(zip(postings._texts(pieces), owners.tolist(), numbers.tolist())) == want
