@@ -40,16 +40,27 @@ class _InOrder(StatefulProcessor):
 
     Events wait in a list until the watermark has passed them; one value is kept between them. So
     results do not depend on how the input was cut into micro-batches. Rows whose last field is null
-    only move the watermark.
+    only move the watermark. The input has key and event time ahead of the ``fields``; the list holds
+    up to ``TOGETHER`` events per entry, as each entry is sent and stored by itself.
     """
 
+    TOGETHER = 1024
+
     def __init__(self, fields: T.StructType, state: T.StructType):
         self.fields, self.state = fields, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", self.state)
-        self.waiting = handle.getListState("waiting", self.fields)
+        packed = T.StructType()
+        for f in self.fields:
+            packed = packed.add(f.name, T.ArrayType(f.dataType))
+        self.waiting = handle.getListState("waiting", packed)
+
+    def _packed(self, events: list[tuple]) -> list[tuple]:
+        return [
+            tuple(map(list, zip(*events[at : at + self.TOGETHER]))) for at in range(0, len(events), self.TOGETHER)
+        ]
 
     def walk(self, key, kept: tuple | None, ready: list[tuple], passed: int) -> tuple[list[Row], tuple | None, int | None]:
         """(rows to give out, what is kept, when to look again at the latest) after the ready events."""
@@ -59,23 +70,22 @@ class _InOrder(StatefulProcessor):
         self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        names = self.fields.fieldNames()
-        new = [tuple(r[name] for name in names) for r in rows if r[names[-1]] is not None]
+        new = [e for e in (tuple(r)[2:] for r in rows) if e[-1] is not None]
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendList(self._packed(new))
             self._wake(min(e[0] for e in new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        waiting = [e for entry in self.waiting.get() for e in zip(*entry)] if self.waiting.exists() else []
         events = sorted(waiting, key=lambda e: e[:2])
         ready = [e for e in events if e[0] <= passed]
         later = events[len(ready):]
         before = tuple(self.kept.get()) if self.kept.exists() else None
         out, after, again = self.walk(key[0], before, ready, passed)
         if ready and later:
-            self.waiting.put(later)
+            self.waiting.put(self._packed(later))
         elif ready:
             self.waiting.clear()
         if later:
@@ -117,6 +127,9 @@ class _Correlation(_InOrder):
         return out, kept, None if kept is None else kept[0] + self.timeout_us
 
 
+AVERAGED = Row("key", "us", "tie", "x", "ema")
+
+
 class _Average(_InOrder):
     """Keeps the moving average of a key."""
 
@@ -130,7 +143,7 @@ class _Average(_InOrder):
         out, ema = [], kept[0] if kept else None
         for us, tie, x in ready:
             ema = x if ema is None else (1 - self.rate) * ema + self.rate * x
-            out.append(Row(key=key, us=us, tie=tie, x=x, ema=ema))
+            out.append(AVERAGED(key, us, tie, x, ema))
         return out, None if ema is None else (ema,), None
 
 

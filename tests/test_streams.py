@@ -1,7 +1,11 @@
 """Each stream, cut into several files in time order, equals its batch form."""
 
+from types import SimpleNamespace
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.operators import jobs, peers, reputation, throttle
 from sightline.operators.sightings import fold_sightings
@@ -123,6 +127,48 @@ def test_moving_average(spark, cut, batch):
     same(rounded(got), rounded(expected))
 
 
+class _Held:
+    """State in memory that counts its entries."""
+
+    def __init__(self):
+        self.value = []
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def appendList(self, entries):
+        self.value = [*self.value, *entries]
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = []
+
+
+def test_waiting_events_share_entries():
+    """Events are sent and stored together, however many wait, and still come out in order."""
+    made = ops._Average(0.5, T.LongType())
+    made.kept, made.waiting, made.handle = _Held(), _Held(), SimpleNamespace(registerTimer=lambda ms: None)
+    rows = [Row(key=1, ts=None, us=us, tie=us, x=float(us)) for us in reversed(range(3000))] + [Row(key=1, ts=None, us=9000, tie=0, x=None)]
+    list(made.handleInputRows((1,), iter(rows), None))
+    assert len(made.waiting.value) == 3
+    passed = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    first = list(made.handleExpiredTimer((1,), passed(1), None))
+    assert [r.us for r in first] == list(range(1001)) and len(made.waiting.value) == 2
+    rest = list(made.handleExpiredTimer((1,), passed(9), None))
+    assert [r.us for r in rest] == list(range(1001, 3000)) and not made.waiting.exists()
+    ema = None
+    for r in first + rest:
+        ema = r.x if ema is None else 0.5 * ema + 0.5 * r.x
+        assert r.ema == ema
+
+
 def test_last_peers(spark, cut, batch, tmp_path):
     of = lambda df: df.filter("value >= 50").select("event_type", "user_id", "ts")
     table = tables.last_peers_table(spark, str(tmp_path / "t"), "event_type", "user_id", "ts", 8)
