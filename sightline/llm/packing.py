@@ -37,6 +37,8 @@ from sightline.session import store
 LIMIT = 4096
 END_ID = 2
 SEGMENTS = 128
+#: Pieces in a generation of a worker's cache.
+KNOWN = 120_000
 
 #: The split rule of the tokenizer, restricted to ASCII and Latin-1 letters.
 SAFE = re.compile(r"[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -52,7 +54,7 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = KNOWN):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,10 +66,11 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One per Python worker."""
+    def of(cls, path: str, limit: int = KNOWN) -> Encoder:
+        """One per Python worker, with the limit of the task at work."""
         if path not in cls._open:
             cls._open[path] = cls(path)
+        cls._open[path].limit = limit
         return cls._open[path]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -127,14 +130,14 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def token_pieces(
     docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = LIMIT,
-    end_id: int = END_ID, tokenizer: str | None = None,
+    end_id: int = END_ID, tokenizer: str | None = None, known: int = KNOWN,
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): the ids of every text cut at ``limit``."""
     tokenizer = tokenizer or tokenizer_path()
     names = [field.split()[0] for field in PIECE.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer, known), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, 1, 4 << 20):
             out: list[tuple] = []
             for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
@@ -258,8 +261,8 @@ def pack(
     )
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    return pack(token_pieces(docs))
+def packed_documents(docs: DataFrame, known: int = KNOWN) -> DataFrame:
+    return pack(token_pieces(docs, known=known))
 
 
 @query("op2_packing", "documents")

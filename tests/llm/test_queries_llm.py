@@ -1,7 +1,10 @@
+import pyarrow as pa
 import pytest
 from oracle import TABLES, connect, differences
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sightline.llm.packing import Encoder, tokenizer_path
 from sightline.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -126,3 +129,44 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark):
 
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_pipeline_bounds_what_python_workers_hold(spark, monkeypatch):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 600, 1, 2).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+    asked = {}
+
+    def sizes(docs, **more):
+        def size(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+        asked.update(more)
+        return docs.mapInArrow(size, "rows long, size long")
+
+    def parts(docs, *_, **__):
+        return docs.selectExpr("CAST(NULL AS long) AS class", "doc_id AS id", "unhex('00') AS mark")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(corpus_pipeline, "packed_documents", sizes)
+        patch.setattr(corpus_pipeline, "jaccard_components", parts)
+        patch.setattr(corpus_pipeline, "train", lambda *_: None)
+        patch.setattr(corpus_pipeline, "predict", lambda *_: F.expr("struct('en' AS lang_pred, 1.0 AS score)"))
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.pack_sequences):
+            spark.conf.unset(bound)
+            out = stage(spark, docs, "")
+            assert spark.conf.get(bound) == corpus_pipeline.BATCH
+    found = out.collect()
+    assert sum(r.rows for r in found) == 600
+    assert max(r.size for r in found) < 2 << 20
+    assert asked == {"known": corpus_pipeline.KNOWN}
+
+
+def test_encoder_keeps_to_the_limit_of_the_task():
+    encoder, whole = Encoder.of(tokenizer_path(), 100), Encoder(tokenizer_path())
+    for at in range(0, 4000, 200):
+        block = [f"p{'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10 % 10]}{'uvwxyzabcd'[n // 100 % 10]}{'efghijklmn'[n // 1000]}"
+                 for n in range(at, at + 200)]
+        assert encoder.ids(block) == whole.ids(block)
+        assert len(encoder.known) + len(encoder.older) <= 2 * (100 + 200)
+    assert Encoder.of(tokenizer_path()).limit > 100
